@@ -66,13 +66,13 @@ class TwoAges(dict):
         super().__init__()
         self.bound, self.old = bound, {}
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> list:
         """The distinct keys that neither age has; those of the old age are taken over first."""
         if len(self) > self.bound:
             self.old = dict(self)
             self.clear()
         out = []
-        for k in set(keys).difference(self):
+        for k in keys.difference(self):
             v = self.old.get(k)
             if v is None:
                 out.append(k)

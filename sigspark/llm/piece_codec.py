@@ -240,7 +240,7 @@ class Codec:
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.split(t) if t else [] for t in texts]
-        new = self.known.missing(p for parts in split for p in parts)
+        new = self.known.missing(set().union(*split))
         found = segment(self.pieces, [p.encode("utf-8", "replace") for p in new])
         self.known.update(zip(new, found))
         return [b"".join(map(self.known.__getitem__, parts)) for parts in split]

@@ -40,6 +40,7 @@ END_ID = 2
 KNOWN_WORDS = 250_000
 DICT_BYTES = 112_640
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9'<\x80-\U0010ffff]*)$")
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")  # a part of what the tokenizer takes for white space; it splits the rest itself
 
 
@@ -56,6 +57,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words, self.cores = TwoAges(KNOWN_WORDS), TwoAges(KNOWN_WORDS)
 
     def _learn(self, words: list[str]) -> None:
@@ -63,17 +67,25 @@ class WordEncoder:
         for w in words:
             m = PLAIN.match(w)
             split[w] = (m[1].lower(), m[2]) if m else (w, "")
-        new = self.cores.missing(x for pair in split.values() for x in pair)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.cores[x] = np.array(e.ids, "<u4").tobytes()
+        new = self.cores.missing({x for pair in split.values() for x in pair})
+        plain = [x for x in new if LETTERS.fullmatch(x)]
+        for at in range(0, len(plain), 1024):  # each is one pre-token, so its last id ends a word and no other does
+            some = plain[at : at + 1024]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closing[ids]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            data, bounds = ids.tobytes(), [0, *(ends * 4).tolist()]
+            self.cores.update(zip(some, (data[a:b] for a, b in zip(bounds, bounds[1:]))))
+        odd = [x for x in new if x not in self.cores]
+        for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.cores[x] = np.array(e.ids, "<u4").tobytes()
         for w, (a, b) in split.items():
             self.words[w] = self.cores[a] + self.cores[b]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         split = [SPACE.split(t) if t else [] for t in texts]
-        self._learn(self.words.missing(w for words in split for w in words))
+        self._learn(self.words.missing(set().union(*split)))
         return [b"".join(map(self.words.__getitem__, words)) for words in split]
 
 
