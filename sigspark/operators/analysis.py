@@ -9,12 +9,26 @@ from .. import schema as S
 from ..functions.columns import sql_array
 from ..functions.cost import option_cost
 
-#: Ordered classes of message texts: the first pattern found names the class.
+#: The classes of message texts in order; the first pattern found in the lower-cased text names the class.
 CONTENT_TYPES = (
-    ("malware", "malware|trojan|backdoor|worm|virus"), ("exploit", "exploit|overflow|shellcode|cve-"), ("scan", "scan|probe|sweep|recon"),
-    ("dos", "dos attack|ddos|denial of service|flood"), ("phishing", "phish"), ("web_attack", "sql injection|xss|cross-site|web attack|injection"),
-    ("c2", "c2|command and control|beacon|cnc"), ("exfiltration", "exfil|data leak"), ("policy", "policy|violation"), ("authentication", "login|brute|password|auth"),
-)
+    ("sql injection", r"(sql|sqli|injection|union\s+select)"),
+    ("xss", r"(xss|cross.?site|script.?inject)"),
+    ("rce", r"(rce|remote\s+code|command\s+injection|shell)"),
+    ("malware", r"(malware|trojan|virus|backdoor|ransomware)"),
+    ("exploit", r"(exploit|cve-|vulnerability)"),
+    ("phishing", r"(phish|fake\s+login|credential)"),
+    ("dos/ddos", r"(dos|ddos|denial|flood|amplification)"),
+    ("scan/probe", r"(scan|probe|recon|enumerat)"),
+    ("bruteforce", r"(brute.?force|password\s+guess|auth\s+fail)"),
+    ("dns", r"(dns|domain|nxdomain)"),
+    ("web", r"(http|web|uri|url|request)"),
+    ("tls/ssl", r"(tls|ssl|certificate)"),
+    ("smtp/email", r"(smtp|email|mail)"),
+    ("ftp", r"(ftp|file\s+transfer)"),
+    ("ssh", r"(ssh|secure\s+shell)"),
+    ("smb", r"(smb|cifs|samba)"),
+    ("policy violation", r"(policy|unauthorized|forbidden)"),
+)
 
 
 def distribution(rules: DataFrame, column: str) -> DataFrame:
