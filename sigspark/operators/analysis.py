@@ -59,7 +59,7 @@ _SAMPLED = """array_distinct(flatten(transform(filter(concat(src_port.atoms, dst
 
 def port_coverage(rules: DataFrame) -> DataFrame:
     """port and the number of rules whose source or destination ports cover it; ranges by their ends and, if wide, four samples."""
-    return rules.select(F.explode(F.expr(_SAMPLED)).cast("int").alias("port")).groupBy("port").agg(F.count(F.lit(1)).alias("rules"))
+    return rules.select(F.explode(F.expr(f"cast({_SAMPLED} as array<int>)")).alias("port")).groupBy("port").agg(F.count(F.lit(1)).alias("rules"))
 
 
 def uncovered_ports(rules: DataFrame) -> DataFrame:
@@ -93,9 +93,9 @@ def gaps(rules: DataFrame) -> DataFrame:
         F.inline(
             F.expr(
                 """filter(array(
-          if(tcp > 95, struct('protocol' as gap_type, 'medium' as severity, 'tcp' as detail), null), if(udp < 2 and n >= 100, struct('protocol', 'medium', 'udp'), null),
-          if(icmp < 0.5 and n >= 100, struct('protocol', 'low', 'icmp'), null), if(outbound < 2 and n >= 100, struct('direction', 'medium', 'outbound'), null),
-          if(blocking < 1 and n >= 100, struct('action', 'low', 'blocking'), null)), x -> x is not null)"""
+          if(tcp > 95, struct('protocol' as gap_type, 'medium' as severity, 'tcp' as detail), null), if(udp < 2 and n >= 100, struct('protocol' as gap_type, 'medium' as severity, 'udp' as detail), null),
+          if(icmp < 0.5 and n >= 100, struct('protocol' as gap_type, 'low' as severity, 'icmp' as detail), null), if(outbound < 2 and n >= 100, struct('direction' as gap_type, 'medium' as severity, 'outbound' as detail), null),
+          if(blocking < 1 and n >= 100, struct('action' as gap_type, 'low' as severity, 'blocking' as detail), null)), x -> x is not null)"""
             )
         )
     )

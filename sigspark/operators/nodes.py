@@ -36,7 +36,7 @@ def with_nodes(rules: DataFrame) -> DataFrame:
     header = _map(
         {"protocol": "protocol", "direction": "direction", "node_type": "'Header'"} | {c: f"if(size({c}.atoms) = 1 and {c}.kind = 'single', coalesce(cast({c}.atoms[0].value as string), {c}.text), {c}.text)" for c in ("src_addr", "src_port", "dst_addr", "dst_port")}
     )
-    option = f"named_struct('node_type', o.node_type, 'attrs', {_map(OPTION_ATTRS)}, 'key', concat(o.node_type, '|', o.raw), 'ordinal', o.ordinal, 'kids', coalesce(size(coalesce(o.modifiers, o.entries, if(size(o.states) > 0, o.states, o.directions))) > 0, false))"
+    option = f"named_struct('node_type', o.node_type, 'attrs', {_map(OPTION_ATTRS)}, 'key', concat(o.node_type, '|', o.raw), 'ordinal', o.ordinal, 'kids', coalesce(size(o.modifiers), 0) + coalesce(size(o.entries), 0) + coalesce(size(o.states), 0) + coalesce(size(o.directions), 0) > 0)"
     leaves = ", ".join(_leaves(c, "port" if c.endswith("port") else "address") for c in ("src_addr", "src_port", "dst_addr", "dst_port"))
     rows = let(rules, _leaf=F.expr(f"concat({leaves})"), _opt=F.expr(f"transform(options, o -> {option})"))
     top = f"array(named_struct('node_type', 'Rule', 'attrs', {rule}, 'key', 'Rule', 'ordinal', cast(null as int), 'kids', true), named_struct('node_type', 'Header', 'attrs', {header}, 'key', 'Header', 'ordinal', cast(null as int), 'kids', true))"

@@ -1,4 +1,353 @@
-"""The registered queries."""
+"""The registered queries, each with the SQL that states its result over the base tables."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.cost import rule_cost
+from ..functions.printer import rule_text
+from ..operators import analysis as A
+from ..operators import optimize as O
+from ..operators import pipeline as P
+from ..operators import similarity as M
+from ..operators.parse import parse
+from ..operators.selectors import query, query_exists, query_first
+from ..schema import COMMON_PORTS
+from ..sources.readers import assemble
+from .bridge import rules_from_events, texts_from_events
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+BASE = """e AS (SELECT event_id AS id, user_id, event_type FROM events),
+a AS (SELECT *, ['alert', 'log', 'pass', 'drop', 'reject', 'sdrop'][(id % 6 + 1)::INT] AS action, ['tcp', 'udp', 'icmp', 'http', 'dns'][(id % 5 + 1)::INT] AS protocol,
+  CASE id % 10 WHEN 0 THEN '<-' WHEN 9 THEN '<>' ELSE '->' END AS direction, id % 97 <> 0 AS ok,
+  CASE WHEN id % 13 <> 0 THEN id + 1 END AS sid, CASE WHEN id % 11 <> 0 THEN event_type || ' event ' || id END AS msg,
+  id % 1000 + 1 AS lo, user_id % 60000 + 1 AS port FROM e),
+r AS (SELECT * FROM a WHERE ok)"""
+
+
+def register(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = f"WITH {BASE} {sql}"
+        return f
+
+    return add
+
+
+def _selector(name: str, selector: str, sql: str, *columns) -> None:
+    register(name, sql)(lambda spark, d: query(rules_from_events(spark, d), selector).selectExpr("id", *columns))
+
+
+@register("parse_header", "SELECT id, action, protocol, direction, CASE WHEN id % 2 = 0 THEN 'any' ELSE '$EXTERNAL_NET' END AS dst FROM r")
+def parse_header(spark, d):
+    return rules_from_events(spark, d).select("id", "action", "protocol", "direction", F.col("dst_addr.text").alias("dst"))
+
+
+@register("parse_ports", "SELECT id, CASE WHEN id % 3 = 0 THEN port WHEN id % 3 = 1 THEN lo ELSE 80 END AS lo, CASE WHEN id % 3 = 0 THEN port WHEN id % 3 = 1 THEN lo + 20 ELSE 80 END AS hi FROM r UNION ALL SELECT id, 443, 443 FROM r WHERE id % 3 = 2")
+def parse_ports(spark, d):
+    x = rules_from_events(spark, d).select("id", F.explode("dst_port.atoms").alias("p"))
+    return x.select("id", F.coalesce("p.value", "p.start").cast("long").alias("lo"), F.coalesce("p.value", "p.end").cast("long").alias("hi"))
+
+
+@register("parse_addresses", """SELECT id, 'any' AS value, false AS negated FROM r WHERE id % 4 = 0 UNION ALL SELECT id, 'HOME_NET', false FROM r WHERE id % 4 = 1
+  UNION ALL SELECT id, '10.0.' || id % 256 || '.1', false FROM r WHERE id % 4 = 2 UNION ALL SELECT id, '10.' || id % 200 || '.0.0', false FROM r WHERE id % 4 = 3
+  UNION ALL SELECT id, '10.' || id % 200 || '.0.5', true FROM r WHERE id % 4 = 3""")
+def parse_addresses(spark, d):
+    x = rules_from_events(spark, d).select("id", F.explode("src_addr.atoms").alias("p"))
+    return x.select("id", F.coalesce("p.value", "p.network", "p.name", F.lit("any")).alias("value"), "p.negated")
+
+
+@register("parse_options_exploded", """SELECT id, unnest(list_filter([CASE WHEN id % 11 <> 0 THEN 'MsgOption' END, CASE WHEN id % 2 = 0 THEN 'FlowOption' END, 'ContentOption', CASE WHEN id % 3 = 0 THEN 'NocaseOption' END,
+  CASE WHEN id % 4 = 0 THEN 'DepthOption' END, CASE WHEN id % 5 = 0 THEN 'ContentOption' END, CASE WHEN id % 7 = 0 THEN 'PcreOption' END, CASE WHEN id % 20 in (1, 2) THEN 'FlowbitsOption' END,
+  'ClasstypeOption', 'PriorityOption', 'ReferenceOption', 'MetadataOption', CASE WHEN id % 13 <> 0 THEN 'SidOption' END, 'RevOption'], lambda x: x IS NOT NULL)) AS node_type FROM r""")
+def parse_options_exploded(spark, d):
+    return rules_from_events(spark, d).select("id", F.explode("options.node_type").alias("node_type"))
+
+
+@register("content_bytes_len", "SELECT id, 5 + length(id::VARCHAR) AS n FROM r UNION ALL SELECT id, 3 FROM r WHERE id % 5 = 0")
+def content_bytes_len(spark, d):
+    x = rules_from_events(spark, d).select("id", F.explode(F.expr("filter(options, o -> o.node_type = 'ContentOption')")).alias("o"))
+    return x.select("id", F.length("o.pattern").cast("long").alias("n"))
+
+
+@register("parse_metadata", "SELECT id, 'k' || id % 3 AS key, 'v' AS value FROM r UNION ALL SELECT id, 'created', id::VARCHAR FROM r")
+def parse_metadata(spark, d):
+    return rules_from_events(spark, d).select("id", F.inline(F.flatten(F.expr("transform(filter(options, o -> o.node_type = 'MetadataOption'), o -> o.entries)"))))
+
+
+@register("parse_errors", "SELECT id, 'PARSE_ERROR' AS code, 'ip' AS protocol, 0::BIGINT AS options FROM a WHERE NOT ok")
+def parse_errors(spark, d):
+    rules = rules_from_events(spark, d, errors=True).where("not ok")
+    return rules.select("id", F.expr("diagnostics[0].code").alias("code"), "protocol", F.size("options").cast("long").alias("options"))
+
+
+@register("line_assembly", "SELECT (id // 100)::VARCHAR AS file, count(*) AS rules, sum(CASE WHEN ok THEN 1 ELSE 0 END)::BIGINT AS good FROM a GROUP BY 1")
+def line_assembly(spark, d):
+    t = texts_from_events(spark, d).withColumn("file_path", F.expr("cast(id div 100 as string)"))
+    cut = F.transform(F.split("text", " (?=content:|sid:)"), lambda x: x)
+    lines = t.select("file_path", "id", F.posexplode(F.concat(cut, F.array(F.lit("# note"), F.lit("")))).alias("k", "text"))
+    lines = lines.select("file_path", (F.col("id") * 10 + F.col("k")).alias("line_no"), "text")
+    return parse(assemble(lines)).groupBy(F.col("file_path").alias("file")).agg(F.count(F.lit(1)).alias("rules"), F.count_if("ok").alias("good"))
+
+
+@register("batches", "SELECT id // 1000 AS batch_number, sum(ok::INT)::BIGINT AS success_count, sum((NOT ok)::INT)::BIGINT AS error_count FROM a GROUP BY 1")
+def batches(spark, d):
+    from ..sources.readers import batches as run
+
+    return run(rules_from_events(spark, d, errors=True), "id").select("batch_number", "success_count", "error_count")
+
+
+_selector("sel_type", "MsgOption", "SELECT id, msg FROM r WHERE msg IS NOT NULL", "option.text AS msg")
+_selector("sel_universal", "*", """SELECT id, node_type, count(*) AS n FROM (SELECT id, unnest(list_concat(['Rule', 'Header', CASE id % 4 WHEN 0 THEN 'AnyAddress' WHEN 1 THEN 'AddressVariable' WHEN 2 THEN 'IPAddress' ELSE 'IPCIDRRange' END,
+  'AnyPort', CASE WHEN id % 2 = 0 THEN 'AnyAddress' ELSE 'AddressVariable' END, CASE WHEN id % 3 = 1 THEN 'PortRange' ELSE 'Port' END], CASE WHEN id % 4 = 3 THEN ['IPAddress'] ELSE [] END, CASE WHEN id % 3 = 2 THEN ['Port'] ELSE [] END)) AS node_type FROM r) GROUP BY ALL""")
+QUERIES["sel_universal"] = lambda spark, d: query(rules_from_events(spark, d), "*").where("option is null").groupBy("id", "node_type").agg(F.count(F.lit(1)).alias("n"))
+_selector("sel_attr_eq", 'ClasstypeOption[value="c2"]', "SELECT id FROM r WHERE id % 4 = 2")
+_selector("sel_attr_ne", 'Rule[action!="alert"]', "SELECT id FROM r WHERE action <> 'alert'")
+_selector("sel_attr_exists", "FlowOption[states]", "SELECT id FROM r WHERE id % 2 = 0")
+_selector("sel_attr_cmp", "SidOption[value>500]", "SELECT id, sid FROM r WHERE sid > 500", "option.value_int AS sid")
+_selector("sel_attr_le", "PriorityOption[value<=2]", "SELECT id, id % 4 + 1 AS priority FROM r WHERE id % 4 <= 1", "option.value_int AS priority")
+_selector("sel_contains", 'MsgOption[text*="99"]', "SELECT id FROM r WHERE contains(msg, '99')")
+_selector("sel_prefix", 'MsgOption[text^="c"]', "SELECT id FROM r WHERE starts_with(msg, 'c')")
+_selector("sel_suffix", 'ReferenceOption[ref_id$="7"]', "SELECT id FROM r WHERE id % 10 = 7")
+_selector("sel_compound", "PriorityOption[value>=2][value<4]", "SELECT id FROM r WHERE id % 4 in (1, 2)")
+_selector("sel_union", "PcreOption, FlowbitsOption", "SELECT id, 'PcreOption' AS node_type FROM r WHERE id % 7 = 0 UNION ALL SELECT id, 'FlowbitsOption' FROM r WHERE id % 20 in (1, 2)", "node_type")
+_selector("sel_descendant", 'Rule[action="log"] PortRange', "SELECT id, lo FROM r WHERE action = 'log' AND id % 3 = 1", "cast(attrs['start'] as bigint) AS lo")
+_selector("sel_child", 'Rule > Header[protocol="tcp"]', "SELECT id FROM r WHERE protocol = 'tcp'")
+_selector("sel_adjacent", "ContentOption + NocaseOption", "SELECT id FROM r WHERE id % 3 = 0")
+_selector("sel_general", "PcreOption ~ SidOption", "SELECT id FROM r WHERE id % 7 = 0 AND id % 13 <> 0")
+_selector("sel_chain", "Rule > Header > Port", "SELECT id, CASE WHEN id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS n FROM r WHERE id % 3 <> 1")
+QUERIES["sel_chain"] = lambda spark, d: query(rules_from_events(spark, d), "Rule > Header > Port").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+_selector("sel_has", "Rule:has(PcreOption)", "SELECT id FROM r WHERE id % 7 = 0")
+_selector("sel_not", 'Rule:not(Rule[action="alert"])', "SELECT id FROM r WHERE action <> 'alert'")
+_selector("sel_not_empty", "FlowOption:not-empty", "SELECT id FROM r WHERE id % 2 = 0")
+_selector("sel_last_child", "Rule > :last-child", "SELECT id, 'RevOption' AS node_type FROM r", "node_type")
+_selector("sel_first_child", "Rule > :first-child", "SELECT id, 'Header' AS node_type FROM r", "node_type")
+
+
+@register("query_first", "SELECT id, 'GET /' || id AS pattern FROM r")
+def _query_first(spark, d):
+    return query_first(rules_from_events(spark, d), "ContentOption").select("id", "attrs['pattern'] AS pattern")
+
+
+@register("query_exists", "SELECT action, count(*) AS n FROM r WHERE id % 7 = 0 GROUP BY 1")
+def _query_exists(spark, d):
+    return query_exists(rules_from_events(spark, d), "PcreOption").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("filter_transform_chain", "SELECT id, CASE WHEN action = 'alert' THEN 'drop' ELSE action END AS action, sid + 1000000 AS sid FROM r WHERE protocol in ('tcp', 'udp') AND sid IS NOT NULL")
+def filter_transform_chain(spark, d):
+    chain = P.Filter("protocol in ('tcp', 'udp')") | P.Filter("sid is not null") | P.Transform(action="if(action = 'alert', 'drop', action)", sid="sid + 1000000")
+    return chain(rules_from_events(spark, d)).select("id", "action", "sid")
+
+
+@register("validate_missing", """SELECT code, count(*) AS n FROM (SELECT 'missing_sid' AS code FROM a WHERE sid IS NULL OR NOT ok UNION ALL SELECT 'missing_msg' FROM a WHERE msg IS NULL OR NOT ok UNION ALL SELECT 'PARSE_ERROR' FROM a WHERE NOT ok) GROUP BY 1""")
+def validate_missing(spark, d):
+    rules = P.Validate()(rules_from_events(spark, d, errors=True))
+    return rules.select(F.explode("diagnostics.code").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("validate_strict", "SELECT count(*) AS n FROM r")
+def validate_strict(spark, d):
+    return P.Validate(strict=True)(rules_from_events(spark, d, errors=True)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("stats_action_protocol_direction", """SELECT dimension, value, count(*) AS cnt, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY dimension), 1)::DOUBLE AS pct FROM (
+  SELECT 'action' AS dimension, action AS value FROM r UNION ALL SELECT 'protocol', protocol FROM r UNION ALL SELECT 'direction', direction FROM r) GROUP BY 1, 2""")
+def stats(spark, d):
+    return A.statistics(rules_from_events(spark, d)).withColumn("pct", F.col("pct").cast("double"))
+
+
+@register("aggregate_stats", "SELECT count(*) AS total, count(DISTINCT CASE WHEN ok THEN sid END) AS unique_sids, sum((NOT ok)::INT)::BIGINT AS rules_with_errors, 0::BIGINT AS rules_with_warnings FROM a")
+def aggregate_stats(spark, d):
+    return A.aggregate_stats(rules_from_events(spark, d, errors=True))
+
+
+_PORTS = """p AS (SELECT id, port FROM r WHERE id % 3 = 0 UNION ALL SELECT id, unnest([80, 443]) FROM r WHERE id % 3 = 2 UNION ALL SELECT id, unnest([lo, lo + 20, lo + 4, lo + 8, lo + 12, lo + 16]) FROM r WHERE id % 3 = 1)"""
+
+
+@register("port_coverage", f", {_PORTS} SELECT port::INT AS port, count(DISTINCT id) AS rules FROM p GROUP BY 1")
+def port_coverage(spark, d):
+    return A.port_coverage(rules_from_events(spark, d))
+
+
+@register("uncovered_common_ports", f", {_PORTS} SELECT c.port::INT AS port FROM (SELECT unnest({list(COMMON_PORTS)}) AS port) c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.port = c.port)")
+def uncovered_common_ports(spark, d):
+    return A.uncovered_ports(rules_from_events(spark, d)).select("port")
+
+
+_TYPES = "CASE " + " ".join(f"WHEN regexp_matches(lower(msg), '{p}') THEN '{n}'" for n, p in A.CONTENT_TYPES) + " ELSE 'other' END"
+
+
+@register("content_classifier", f"SELECT {_TYPES} AS content_type, count(*) AS cnt FROM r WHERE msg IS NOT NULL GROUP BY 1")
+def content_classifier(spark, d):
+    return A.content_types(rules_from_events(spark, d))
+
+
+@register("top10_content_types", f"SELECT {_TYPES} AS content_type, count(*) AS cnt FROM r WHERE msg IS NOT NULL GROUP BY 1 ORDER BY cnt DESC, content_type LIMIT 10")
+def top10_content_types(spark, d):
+    return A.content_types(rules_from_events(spark, d), top=10)
+
+
+@register("coverage_gaps", f""", {_PORTS}, s AS (SELECT count(*) AS n, 100.0 * avg((protocol = 'tcp')::INT) AS tcp, 100.0 * avg((protocol = 'udp')::INT) AS udp, 100.0 * avg((protocol = 'icmp')::INT) AS icmp,
+  100.0 * avg((direction = '<-')::INT) AS outbound, 100.0 * avg((action in ('drop', 'reject'))::INT) AS blocking FROM r)
+  SELECT 'port' AS gap_type, CASE WHEN c.port in (80, 443, 22, 445) THEN 'high' ELSE 'medium' END AS severity, c.port::VARCHAR AS detail FROM (SELECT unnest({list(COMMON_PORTS)}) AS port) c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.port = c.port)
+  UNION ALL SELECT 'protocol', 'medium', 'tcp' FROM s WHERE tcp > 95 UNION ALL SELECT 'protocol', 'medium', 'udp' FROM s WHERE udp < 2 AND n >= 100 UNION ALL SELECT 'protocol', 'low', 'icmp' FROM s WHERE icmp < 0.5 AND n >= 100
+  UNION ALL SELECT 'direction', 'medium', 'outbound' FROM s WHERE outbound < 2 AND n >= 100 UNION ALL SELECT 'action', 'low', 'blocking' FROM s WHERE blocking < 1 AND n >= 100""")
+def coverage_gaps(spark, d):
+    return A.gaps(rules_from_events(spark, d))
+
+
+@register("option_usage", """SELECT node_type, count(*) AS cnt FROM (SELECT unnest(list_filter([CASE WHEN id % 11 <> 0 THEN 'MsgOption' END, CASE WHEN id % 2 = 0 THEN 'FlowOption' END, 'ContentOption', CASE WHEN id % 3 = 0 THEN 'NocaseOption' END,
+  CASE WHEN id % 4 = 0 THEN 'DepthOption' END, CASE WHEN id % 5 = 0 THEN 'ContentOption' END, CASE WHEN id % 7 = 0 THEN 'PcreOption' END, CASE WHEN id % 20 in (1, 2) THEN 'FlowbitsOption' END,
+  'ClasstypeOption', 'PriorityOption', 'ReferenceOption', 'MetadataOption', CASE WHEN id % 13 <> 0 THEN 'SidOption' END, 'RevOption'], lambda x: x IS NOT NULL)) AS node_type FROM r) GROUP BY 1""")
+def option_usage(spark, d):
+    return A.option_usage(rules_from_events(spark, d))
+
+
+@register("top5_dst_ports", "SELECT port::INT AS port, count(*) AS n FROM r WHERE id % 3 = 0 GROUP BY 1 ORDER BY n DESC, port LIMIT 5")
+def top5_dst_ports(spark, d):
+    x = rules_from_events(spark, d).where("dst_port.kind = 'single'").select(F.expr("dst_port.atoms[0].value").alias("port")).where("port is not null")
+    return x.groupBy("port").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "port").limit(5)
+
+
+#: Meta options cost 0.1 each, a content 10 by its length, an adjacent depth takes a tenth of 10 off, pcre /a.*b/i 182.
+_META = "0.1 * (5 + (id % 11 <> 0)::INT + (id % 13 <> 0)::INT)"
+_CONTENT = "(10.0 * CASE WHEN 5 + length(id::VARCHAR) > 20 THEN 1.2 ELSE 1.0 END)"
+_COST = f"{_META} + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END + {_CONTENT} + CASE WHEN id % 3 = 0 THEN 0.2 ELSE 0 END + CASE WHEN id % 4 = 0 THEN -1.0 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 13 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 182 ELSE 0 END + CASE WHEN id % 20 in (1, 2) THEN 1.5 ELSE 0 END"
+
+
+@register("cost_total", f"SELECT id, round({_COST}, 6)::DOUBLE AS cost FROM r")
+def cost_total(spark, d):
+    return rules_from_events(spark, d).select("id", F.round(rule_cost(), 6).alias("cost"))
+
+
+@register("cost_breakdown", f"SELECT 'ContentOption' AS node_type, round(sum({_CONTENT} + CASE WHEN id % 5 = 0 THEN 13 ELSE 0 END), 3)::DOUBLE AS cost FROM r UNION ALL SELECT 'PcreOption', round(182.0 * sum((id % 7 = 0)::INT), 3)::DOUBLE FROM r UNION ALL SELECT 'FlowOption', sum((id % 2 = 0)::INT)::DOUBLE FROM r")
+def cost_breakdown(spark, d):
+    return A.cost_breakdown(rules_from_events(spark, d)).where("node_type in ('ContentOption', 'PcreOption', 'FlowOption')").select("node_type", F.round("cost", 3).alias("cost"))
+
+
+@register("opt_strategies", "SELECT id, CASE WHEN id % 11 <> 0 OR id % 20 in (1, 2) OR id % 3 = 0 AND id % 5 = 0 OR id % 4 = 0 AND id % 5 = 0 THEN 1 ELSE 0 END AS reordered, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS fast FROM r")
+def opt_strategies(spark, d):
+    x = O.optimize(rules_from_events(spark, d))
+    return x.select("id", *[F.expr(f"cast(array_contains(strategies, '{s}') as int)").alias(n) for n, s in (("reordered", "OptionReorder"), ("fast", "FastPattern"))])
+
+
+@register("opt_first_option", "SELECT id, CASE WHEN id % 2 = 0 THEN 'FlowOption' WHEN id % 20 = 1 THEN 'FlowbitsOption' ELSE 'ContentOption' END AS first FROM r")
+def opt_first_option(spark, d):
+    return O.optimize(rules_from_events(spark, d)).select("id", "optimized[0].node_type AS first")
+
+
+@register("opt_redundancy", "SELECT id, 1::BIGINT AS removed FROM r")
+def opt_redundancy(spark, d):
+    text = F.regexp_replace("text", r"\)$", " classtype:twice; classtype:twice;)")
+    rules = parse(texts_from_events(spark, d).withColumn("text", text)).where("ok")
+    return O.optimize(rules).select("id", (F.size("options") - F.size("optimized")).cast("long").alias("removed"))
+
+
+@register("opt_stats", None)
+def opt_stats(spark, d):
+    return O.optimizer_statistics(O.optimize(rules_from_events(spark, d)))
+
+
+_TEXT = """action || ' ' || protocol || ' ' || CASE id % 4 WHEN 0 THEN 'any' WHEN 1 THEN '$HOME_NET' WHEN 2 THEN '10.0.' || id % 256 || '.1' ELSE '[10.' || id % 200 || '.0.0/16, !10.' || id % 200 || '.0.5]' END || ' any ' || direction || ' ' ||
+  CASE WHEN id % 2 = 0 THEN 'any' ELSE '$EXTERNAL_NET' END || ' ' || CASE id % 3 WHEN 0 THEN port::VARCHAR WHEN 1 THEN lo || ':' || lo + 20 ELSE '[80, 443]' END || ' (' || concat_ws(' ', 'msg:"' || msg || '";',
+  CASE WHEN id % 2 = 0 THEN 'flow:to_server, established;' END, 'content:"GET /' || id || '";', CASE WHEN id % 3 = 0 THEN 'nocase;' END, CASE WHEN id % 4 = 0 THEN 'depth:' || id % 50 + 1 || ';' END, CASE WHEN id % 5 = 0 THEN 'content:"abc";' END,
+  CASE WHEN id % 7 = 0 THEN 'pcre:"/a.*b/i";' END, CASE WHEN id % 20 = 1 THEN 'flowbits:set,f' || id % 50 || ';' WHEN id % 20 = 2 THEN 'flowbits:isset,f' || id % 60 || ';' END, 'classtype:c' || id % 4 || ';', 'priority:' || id % 4 + 1 || ';',
+  'reference:url,example.com/' || id || ';', 'metadata:k' || id % 3 || ' v, created ' || id || ';', 'sid:' || sid || ';', 'rev:' || id % 3 + 1 || ';') || ')'"""
+
+
+@register("print_rule", f"SELECT id, {_TEXT} AS text FROM r")
+def print_rule(spark, d):
+    return rules_from_events(spark, d).select("id", rule_text().alias("text"))
+
+
+@register("print_roundtrip", "SELECT count(*) AS rules, count(*) AS equal FROM r")
+def print_roundtrip(spark, d):
+    once = rules_from_events(spark, d).select("id", rule_text().alias("text"))
+    return parse(once).where("ok").agg(F.count(F.lit(1)).alias("rules"), F.count_if(rule_text() == F.col("text")).alias("equal"))
+
+
+@register("json_roundtrip", "SELECT count(*) AS rules, count(sid) AS sids, count(DISTINCT id % 1000) AS kinds FROM r")
+def json_roundtrip(spark, d):
+    from ..sources.readers import from_json
+    from ..sources.writers import to_json
+
+    rules = rules_from_events(spark, d)
+    back = from_json(rules.select(to_json(rules).alias("j")), "j", rules)
+    return back.agg(F.count(F.lit(1)).alias("rules"), F.count("sid").alias("sids"), F.countDistinct(F.col("id") % 1000).alias("kinds"))
+
+
+_C = M.coefficients(4)
+_FEATURES = """list_distinct(list_filter(['protocol:' || protocol, 'direction:' || direction, 'dst_port:' || CASE id % 3 WHEN 0 THEN port::VARCHAR WHEN 1 THEN lo || ':' || lo + 20 ELSE '[80,443]' END,
+  CASE id % 4 WHEN 1 THEN 'src_addr:$HOME_NET' WHEN 2 THEN 'src_addr:10.0.' || id % 256 || '.1' WHEN 3 THEN 'src_addr:[10.' || id % 200 || '.0.0/16,!10.' || id % 200 || '.0.5]' END, CASE WHEN id % 2 = 1 THEN 'dst_addr:$EXTERNAL_NET' END,
+  CASE WHEN id % 2 = 0 THEN 'option:FlowOption' END, 'option:ContentOption', 'content:get /' || id, CASE WHEN id % 3 = 0 THEN 'option:NocaseOption' END, CASE WHEN id % 4 = 0 THEN 'option:DepthOption' END, CASE WHEN id % 4 = 0 THEN 'value:' || id % 50 + 1 END,
+  CASE WHEN id % 5 = 0 THEN 'content:abc' END, CASE WHEN id % 7 = 0 THEN 'option:PcreOption' END, CASE WHEN id % 7 = 0 THEN 'pcre:a.*b' END, CASE WHEN id % 20 in (1, 2) THEN 'option:FlowbitsOption' END], lambda x: x IS NOT NULL))"""
+
+
+@register("minhash_sig", f"""SELECT id, {', '.join(f'min((h * {a} + {b}) % {M.P})::BIGINT AS s{i}' for i, (a, b) in enumerate(_C))} FROM (
+  SELECT id, ('0x' || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2))::UBIGINT::HUGEINT AS h FROM (SELECT id, sha256(unnest({_FEATURES})) AS s FROM r)) GROUP BY id""")
+def minhash_sig(spark, d):
+    rules = rules_from_events(spark, d).select("id", M.features().alias("f"))
+    return M.signatures(rules, "id", "f").select("id", *[F.expr(f"sig[{i}]").alias(f"s{i}") for i in range(4)])
+
+
+def _sigs(spark: SparkSession, d: str) -> DataFrame:
+    return M.signatures(rules_from_events(spark, d).select("id", M.features().alias("f")), "id", "f")
+
+
+@register("lsh_candidates", None)
+def lsh_candidates(spark, d):
+    return M.candidates(_sigs(spark, d))
+
+
+@register("similarity_pairs", None)
+def similarity_pairs(spark, d):
+    return M.similar_pairs(_sigs(spark, d))
+
+
+@register("lsh_stats", None)
+def lsh_stats(spark, d):
+    return M.lsh_statistics(_sigs(spark, d))
+
+
+@register("dup_sid", "SELECT sid // 3 AS sid, count(*) AS rules FROM r WHERE sid IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def dup_sid(spark, d):
+    return A.duplicate_sids(rules_from_events(spark, d).withColumn("sid", F.expr("sid div 3")))
+
+
+@register("flowbits_missing", "SELECT 'f' || id % 60 AS name, count(*) AS checks FROM r WHERE id % 20 = 2 AND 'f' || id % 60 NOT IN (SELECT 'f' || id % 50 FROM r WHERE id % 20 = 1) GROUP BY 1")
+def flowbits_missing(spark, d):
+    return A.flowbits_without_setter(rules_from_events(spark, d))
+
+
+@register("conflicting_action", "SELECT rules, count(*) AS n FROM (SELECT count(*) AS rules FROM (SELECT id, ['alert', 'drop', 'log'][x] AS action, x FROM r, (SELECT unnest([1, 2]) AS x) WHERE id % 3 = 0) GROUP BY id) GROUP BY 1")
+def conflicting_action(spark, d):
+    rules = rules_from_events(spark, d).where("id % 3 = 0")  # every third rule twice: with alert and with drop
+    both = rules.withColumn("action", F.explode(F.array(F.lit("alert"), F.lit("drop"))))
+    return A.conflicting_actions(both).groupBy("rules").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("shadowing", """, s AS (SELECT id, protocol, direction, port FROM r WHERE id % 3 = 0 UNION ALL SELECT id, protocol, direction, unnest([80, 443]) FROM r WHERE id % 3 = 2)
+  SELECT DISTINCT g.id AS general, s.id AS specific FROM r g JOIN s ON g.protocol = s.protocol AND g.direction = s.direction AND s.port BETWEEN g.lo AND g.lo + 20 WHERE g.id % 3 = 1 AND g.id % 7 = 0 AND s.id % 7 = 0""")
+def shadowing(spark, d):
+    return A.shadowed_ports(rules_from_events(spark, d).where("exists(options, o -> o.node_type = 'PcreOption')"), id_column="id")
+
+
+@register("security_score", """SELECT id, greatest(0, 100 - (CASE WHEN id % 4 = 0 THEN 20 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 10 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN msg IS NULL THEN 5 ELSE 0 END + CASE WHEN sid IS NULL THEN 30 ELSE 0 END
+  + CASE WHEN id % 3 = 2 OR id % 3 = 0 AND port in (80, 443, 8080, 8443, 53) THEN 10 ELSE 0 END))::INT AS score, (2 + CASE WHEN id % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 5 ELSE 0 END)::INT AS complexity FROM r""")
+def security_score(spark, d):
+    return A.security_score(rules_from_events(spark, d)).select("id", "score", "complexity")
+
+
+@register("doc_near_duplicates", None)
+def doc_near_duplicates(spark, d):
+    """Signatures and LSH over the word pairs of documents."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split(F.lower("text"), r"\s+").alias("w")).repartition(spark.sparkContext.defaultParallelism)
+    shingles = F.expr("array_distinct(if(size(w) > 4, transform(sequence(0, size(w) - 5), i -> array_join(slice(w, i + 1, 5), ' ')), array(array_join(w, ' '))))")
+    return M.similar_pairs(M.signatures(docs.select("doc_id", shingles.alias("f")), "doc_id", "f"))
