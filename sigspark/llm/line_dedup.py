@@ -63,16 +63,18 @@ def repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS)
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text deduplicated, and n_chunks_removed and emptied added."""
-    row = docs.select(F.struct("*").alias("_row"), "doc_id", "text", F.xxhash64("text").alias("_hash"))
+    own = [F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)]  # no name of docs can clash with those used here
+    row = docs.toDF(*[f"_k{i}" for i in range(len(own))])
+    text, doc_id = (f"_k{docs.columns.index(c)}" for c in ("text", "doc_id"))
+    row = row.withColumns({"_hash": F.xxhash64(text), "_key": F.xxhash64(doc_id)})
     gone = cut(repeats(docs, divisor, min_words))
     keyed = gone.withColumn("_key", F.xxhash64("doc_id")).drop("doc_id")
-    row = row.withColumn("_key", F.xxhash64("doc_id")).drop("doc_id")
     marked = join_checked(row, keyed, ["_key", "_hash"], "left", rows=500_000, salt=False)
-    same = marked.where("_gone is null").select("_row.*", F.lit(0).alias("n_chunks_removed"), F.lit(False).alias("emptied"))
-    cutting = _chunked(marked.where("_gone is not null"), divisor, min_words)
+    same = marked.where("_gone is null").select(*own, F.lit(0).alias("n_chunks_removed"), F.lit(False).alias("emptied"))
+    cutting = _chunked(marked.where("_gone is not null").withColumn("text", F.col(text)), divisor, min_words)
     cutting = let(cutting, _left=F.expr("filter(_chunks, (c, i) -> not array_contains(_gone, i)).text"))
-    new = F.array_join("_left", "\n")
-    fields = [new.alias("text") if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    new = F.array_join("_left", "\n").alias("text")
+    fields = [new if c == "text" else own[i] for i, c in enumerate(docs.columns)]
     cutting = cutting.select(*fields, F.size("_gone").alias("n_chunks_removed"), (F.size("_left") == 0).alias("emptied"))
     return same.unionByName(cutting)
 
