@@ -12,8 +12,8 @@ in little-endian order: one document is read by its offset and the dictionary al
 Parquet table next to the dictionary, written by Spark's committers, so a lost executor leaves no half files
 and any store that Spark can reach will do. The hash in each block names its dictionary.
 
-The tokenizer sees each distinct word once per worker: white space separates its input and letters separate
-from punctuation before any merge, so ids of words join to the ids of the text.
+White space separates the tokenizer's input and letters separate from punctuation before any merge, so the ids
+of words join to those of the text: each distinct run of letters is encoded once per worker, the rest is Arrow.
 
 Defined results: a null text is an empty document of the end id alone; a null doc_id sorts first; repeated
 rows are stored next to one another; an empty table gives no blocks; extra columns are not looked at.
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,9 +40,10 @@ MAGIC = b"TOKD1\0\0\0"
 END_ID = 2
 KNOWN_WORDS = 250_000
 DICT_BYTES = 112_640
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([^\sA-Za-z0-9'<\x80-\U0010ffff]*)$")
-LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-SPACE = re.compile(r"[ \t\n\r\x0b\x0c]+")  # a part of what the tokenizer takes for white space; it splits the rest itself
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+#: letters and then signs, for RE2: the tokenizer parts the two whatever they are
+PLAIN = rf"^(?P<letters>{LETTER}+)(?P<signs>[^\sA-Za-z0-9'<\x80-\x{{10ffff}}]*)$"
+LETTERS = re.compile(f"{LETTER}+")
 
 
 def default_tokenizer() -> str:
@@ -60,14 +62,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closing[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words, self.cores = TwoAges(KNOWN_WORDS), TwoAges(KNOWN_WORDS)
-
-    def _learn(self, words: list[str]) -> None:
-        split = {}
-        for w in words:
-            m = PLAIN.match(w)
-            split[w] = (m[1].lower(), m[2]) if m else (w, "")
-        new = self.cores.missing({x for pair in split.values() for x in pair})
+        self.cores = TwoAges(KNOWN_WORDS)
+
+    def _learn(self, new: list[str]) -> None:
         plain = [x for x in new if LETTERS.fullmatch(x)]
         for at in range(0, len(plain), 1024):  # each is one pre-token, so its last id ends a word and no other does
             some = plain[at : at + 1024]
@@ -80,13 +77,29 @@ class WordEncoder:
         odd = [x for x in new if x not in self.cores]
         for x, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self.cores[x] = np.array(e.ids, "<u4").tobytes()
-        for w, (a, b) in split.items():
-            self.words[w] = self.cores[a] + self.cores[b]
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        split = [SPACE.split(t) if t else [] for t in texts]
-        self._learn(self.words.missing(set().union(*split)))
-        return [b"".join(map(self.words.__getitem__, words)) for words in split]
+    def _look_up(self, cores: pa.Array) -> pa.Array:
+        coded = cores.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn(self.cores.missing(set(distinct)))
+        return pa.array(map(self.cores.__getitem__, distinct), pa.large_binary(), size=len(distinct)).take(coded.indices)
+
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
+        """Arrow splits at ASCII white space and codes the words; Python sees the distinct cores of a batch alone."""
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary
+        parts = pc.extract_regex(words, PLAIN)
+        letters, signs = parts.flatten()
+        cores = pc.if_else(parts.is_valid(), pc.utf8_lower(letters), words)
+        ids = pc.binary_join_element_wise(self._look_up(cores), self._look_up(signs.fill_null("")), pa.scalar(b"", pa.large_binary())).take(coded.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        firsts = split.offsets.to_numpy()
+        _, offsets, data = ids.buffers()
+        ends = np.frombuffer(offsets, np.int64, len(ids) + 1, 8 * ids.offset)[firsts - firsts[0]].tolist()
+        whole = memoryview(data or b"")
+        return [bytes(whole[a:b]) for a, b in zip(ends, ends[1:])]
 
 
 def _encoder(model: str, end_id: int, shared):
@@ -100,7 +113,7 @@ def _encoder(model: str, end_id: int, shared):
         words = cache[key] = cache.get(key) or WordEncoder(model)
         press = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(shared), level=3) if shared is not None else None
         for batch in batches:
-            ids = [x + end for x in words.encode_batch(batch.column("text").to_pylist())]
+            ids = [x + end for x in words.encode_batch(batch.column("text"))]
             counts = pa.array([len(x) // 4 for x in ids], pa.int64())
             frames = pa.array([press.compress(x) if press else x for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), counts, frames], ["doc_id", "n_tokens", "frame"])
