@@ -87,27 +87,29 @@ def let(df: DataFrame, **values: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(packed)))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, text: str | None = None) -> bool:
-    """Whether a (checkpointed) table is within the broadcast bound, by count and by bytes of one column."""
-    size = F.sum(F.length(text)) if text else F.lit(0)
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: Column | None = None) -> bool:
+    """Whether a (checkpointed) table is within the broadcast bound, by count and by bytes, size giving those of a row."""
+    size = F.lit(0) if size is None else F.sum(size)
     n, total = df.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     return n <= rows and total <= BROADCAST_BYTES
 
 
 def join_checked(
-    left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int = BROADCAST_ROWS, text: str | None = None, salt: bool = True
+    left: DataFrame, right: DataFrame, on: list[str], how: str, rows: int = BROADCAST_ROWS, size: Column | None = None, salt: bool = True
 ) -> DataFrame:
     """Joins a large left with a lookup table that has one row a key.
 
     The lookup is broadcast only if it is counted and within bounds. Beyond them, each lookup row is
-    repeated SALTS times and the left rows are dealt over the salts, so a hot key is spread.
+    repeated SALTS times and the left rows are dealt over the salts by a hash of their other columns, so a
+    hot key is spread, and a task that runs again deals its rows as before.
     """
-    if small(right, rows, text):
+    if small(right, rows, size):
         return left.join(F.broadcast(right), on, how)
     if not salt:
         return left.join(right, on, how)
     spread = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    dealt = left.withColumn("_salt", (F.rand(7) * SALTS).cast("int"))
+    other = [f.name for f in left.schema.fields if f.name not in on and "map<" not in f.dataType.simpleString()]
+    dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*other, F.lit(0)), F.lit(SALTS)).cast("int"))
     return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
 
 

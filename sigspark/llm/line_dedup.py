@@ -5,7 +5,7 @@ divisible by ``divisor``, and before and after each line of at least ``min_words
 depend on a few lines around them only: lines added elsewhere do not shift them. A chunk takes part if it
 has two lines or more, or min_words words. Of every chunk that occurs more than once in the corpus, the
 first occurrence (in order of doc_id, then of place) stays and the others go, after their bytes have been
-compared with those of the first; chunks whose hashes collide but whose bytes differ stay.
+compared; chunks whose hashes collide but whose bytes differ count as different.
 
 Defined results: null and empty texts pass unchanged; repeated rows (same doc_id and text) count as one
 occurrence, so their first chunks stay in each; a null doc_id sorts first; a document all of whose text
@@ -15,7 +15,9 @@ gives an empty result; extra columns pass untouched. Built-in functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, join_checked, let
@@ -46,19 +48,26 @@ def _chunked(docs: DataFrame, divisor: int, min_words: int) -> DataFrame:
     ).drop("_lines", "_h", "_long", "_ends")
 
 
-def repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, _hash of the text, _gone: the places of the chunks that repeat an earlier one); only texts with such."""
+def repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS, hashed: Callable[[str], Column] = F.xxhash64) -> DataFrame:
+    """(doc_id, _hash of the text, _gone: the places of the chunks that repeat an earlier one); only texts with such.
+
+    Hashes that repeat are found on narrow rows. The bytes under each of them are compared by their least and
+    greatest text, which combines on the map side: a task sends at most two texts a hash, however often it
+    occurs. Under hashes whose two texts differ, chunks are grouped by their bytes.
+    """
     chunks = _chunked(docs.select("doc_id", "text"), divisor, min_words).select("doc_id", F.xxhash64("text").alias("_hash"), F.posexplode("_chunks").alias("pos", "c"))
     chunks = chunks.where("c.whole").select("doc_id", "_hash", "pos", F.col("c.text").alias("chunk")).where(F.col("chunk").rlike(r"[^\x20\x09-\x0D]"))
-    chunks = chunks.withColumn("key", F.xxhash64("chunk"))
+    chunks = chunks.withColumn("key", hashed("chunk"))
     place = F.struct("doc_id", "_hash", "pos")
     known = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("key", "first")
-    known = cut(known)
-    texts = join_checked(chunks, known, ["key"], "inner", salt=False).where(place.eqNullSafe(F.col("first")))
-    known = cut(texts.groupBy("key").agg(F.min("chunk").alias("sample"), F.min("first").alias("first")))  # equal rows only
-    hits = join_checked(chunks, known, ["key"], "inner", rows=300_000, text="sample", salt=False)
-    hits = hits.where((F.col("chunk") == F.col("sample")) & ~place.eqNullSafe(F.col("first")))
-    return hits.groupBy("doc_id", "_hash").agg(F.collect_set("pos").alias("_gone"))  # as many as the text has chunks
+    hits = join_checked(chunks, cut(known), ["key"], "inner")
+    mixed = cut(hits.groupBy("key").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select("key"))
+    alike = join_checked(hits.drop("chunk"), mixed, ["key"], "left_anti", salt=False)
+    apart = join_checked(chunks, mixed, ["key"], "inner")
+    firsts = apart.groupBy("key", "chunk").agg(F.min(place).alias("first"))
+    apart = apart.join(firsts, ["key", "chunk"]).select(alike.columns)
+    gone = alike.unionByName(apart).where(~place.eqNullSafe(F.col("first")))  # equal rows only
+    return gone.groupBy("doc_id", "_hash").agg(F.collect_set("pos").alias("_gone"))  # as many as the text has chunks
 
 
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
@@ -69,7 +78,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WO
     row = row.withColumns({"_hash": F.xxhash64(text), "_key": F.xxhash64(doc_id)})
     gone = cut(repeats(docs, divisor, min_words))
     keyed = gone.withColumn("_key", F.xxhash64("doc_id")).drop("doc_id")
-    marked = join_checked(row, keyed, ["_key", "_hash"], "left", rows=500_000, salt=False)
+    marked = join_checked(row, keyed, ["_key", "_hash"], "left", rows=500_000, size=F.size("_gone") * 4, salt=False)
     same = marked.where("_gone is null").select(*own, F.lit(0).alias("n_chunks_removed"), F.lit(False).alias("emptied"))
     cutting = _chunked(marked.where("_gone is not null").withColumn("text", F.col(text)), divisor, min_words)
     cutting = let(cutting, _left=F.expr("filter(_chunks, (c, i) -> not array_contains(_gone, i)).text"))

@@ -84,7 +84,7 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     said = cut(said.where("blocks and not allows").select("component"))
     nodes = found.join(said, "component", "left_semi").select(F.col("node").alias("alias"))
     blocked = cut(nodes.unionByName(said.select(F.col("component").alias("alias"))).distinct().withColumn("blocked", F.lit(True)))
-    out = join_checked(judged, blocked, ["alias"], "left", rows=300_000, text="alias")
+    out = join_checked(judged, blocked, ["alias"], "left", rows=300_000, size=F.length("alias"))
     verdict = F.coalesce("r.verdict", F.when(F.col("blocked"), F.lit("block")).otherwise(F.lit("allow")))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"), "alias")
 

@@ -113,6 +113,27 @@ def test_line_dedup(spark):
     assert ld.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_compares_bytes(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    passages = ["\n".join(" ".join(prose(100 * i + j, 4)) for j in range(6)) for i in range(12)] + [" ".join(prose(i, 55)) for i in range(6)]
+    texts = ["\n".join(r.sample(passages, 4)) for _ in range(60)]
+    chunks = [c.text for c in ld._chunked(docs(spark, texts), 4, 50).orderBy("doc_id").select(F.explode("_chunks").alias("c")).where("c.whole").select("c.text").collect()]
+    assert len(chunks) > 200
+    extra = len(chunks) - len(set(chunks))
+    for hashed in (F.xxhash64, F.length, lambda c: F.lit(1)):  # the last two make chunks collide
+        gone = {x.doc_id: sorted(x._gone) for x in ld.repeats(docs(spark, texts), hashed=hashed).collect()}
+        assert sum(map(len, gone.values())) == extra
+        seen, want = set(), {}
+        for row in ld._chunked(docs(spark, texts), 4, 50).orderBy("doc_id").collect():
+            for pos, c in enumerate(row._chunks):
+                if c.whole and c.text in seen:
+                    want.setdefault(row.doc_id, []).append(pos)
+                seen.add(c.text)
+        assert gone == want
+
+
 def test_html(spark):
     page = '<html><body><nav><a href="/">Menu</a></nav><div class="ad">Buy</div><article><h1>T &amp; x</h1><p>A  b<br>c<p>D <b>e</b><div class="comments"><p>no</p></div><form>f</form></article><footer>F</footer><script>var x="</p>"</script></body></html>'
     pages = spark.createDataFrame([(0, "http://a.example/x", page), (1, None, None), (2, "x", "<p>only"), (3, "http://a.example/y", "")], "page_id long, url string, html string")
