@@ -34,6 +34,7 @@ from .common import TwoAges, bounded_batches, session, worker_cache
 
 MARK = "▁"
 KNOWN_PARTS = 300_000
+SLICE = 1 << 21
 ENCODED = T.StructType(
     [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_bytes_fallback", "ids_crc32")] + [T.StructField("lossless", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 )
@@ -238,7 +239,18 @@ class Codec:
         return self.parts.findall((MARK if self.pieces.prefix else "") + text.replace(" ", MARK))
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+        """The ids of each text as little-endian unsigned 32-bit integers; so many texts at a time as have SLICE characters."""
+        out, at = [], 0
+        while at < len(texts):
+            upto, total = at, 0
+            while upto < len(texts) and (upto == at or total + len(texts[upto] or "") <= SLICE):
+                total += len(texts[upto] or "")
+                upto += 1
+            out += self._encode(texts[at:upto])
+            at = upto
+        return out
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.split(t) if t else [] for t in texts]
         new = self.known.missing(set().union(*split))
         found = segment(self.pieces, [p.encode("utf-8", "replace") for p in new])

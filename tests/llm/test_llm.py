@@ -183,6 +183,9 @@ def test_piece_codec(spark):
     texts = ["", "a  b   c", "  lead", "日本語 x😀y", "tab\tnew\nline", "w" * 3000, " ".join(prose(1, 50))]
     for t, data in zip(texts, codec.encode_batch(texts)):
         assert codec.decode(np.frombuffer(data, "<u4")) == t
+    whole, pc.SLICE = codec.encode_batch([None, *texts]), 5
+    assert pc.Codec(pieces).encode_batch([None, *texts]) == whole
+    pc.SLICE = 1 << 21
 
     def best(part):  # every path
         b, n = part.encode(), len(part.encode())
