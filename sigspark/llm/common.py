@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,12 +47,20 @@ def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches bounded by bytes as well as rows, so that long texts cannot fill a worker."""
     for key, value in (
         ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20)),
+        ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)),
     ):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
 
 
+def give_back() -> None:
+    """Returns what this Python worker has freed to the machine; a worker lives through many stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, over all tasks it runs."""
     name = "_llm_worker_cache"

@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TwoAges, bounded_batches, session, worker_cache
+from .common import TwoAges, bounded_batches, give_back, session, worker_cache
 
 MARK = "▁"
-KNOWN_PARTS = 300_000
-SLICE = 1 << 21
+KNOWN_PARTS = 80_000
+SLICE = 1 << 20
 ENCODED = T.StructType(
     [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_bytes_fallback", "ids_crc32")] + [T.StructField("lossless", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 )
@@ -296,6 +296,7 @@ def _encoder(shared):
             ids = np.frombuffer(data, "<u4")
             raw = int((c.pieces.kinds[ids] == BYTE).sum()) if len(ids) else 0
             rows.append((len(ids), raw, zlib.crc32(data), c.decode(ids) == (t or ""), ids.astype(np.int32)))
+        give_back()
         return pd.DataFrame(rows, columns=["n_tokens", "n_bytes_fallback", "ids_crc32", "lossless", "ids"])
 
     return run

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, cut, join_checked, session
+from .common import bounded_batches, cut, give_back, join_checked, session
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -69,7 +69,9 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 @F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in METRICS]))
 def _metrics(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([measure(t) for t in text], columns=list(METRICS), dtype="int64")
+    out = pd.DataFrame([measure(t) for t in text], columns=list(METRICS), dtype="int64")
+    give_back()
+    return out
 
 
 def _ratio(name: str, m: str) -> Column:

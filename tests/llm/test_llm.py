@@ -185,7 +185,7 @@ def test_piece_codec(spark):
         assert codec.decode(np.frombuffer(data, "<u4")) == t
     whole, pc.SLICE = codec.encode_batch([None, *texts]), 5
     assert pc.Codec(pieces).encode_batch([None, *texts]) == whole
-    pc.SLICE = 1 << 21
+    pc.SLICE = 1 << 20
 
     def best(part):  # every path
         b, n = part.encode(), len(part.encode())
