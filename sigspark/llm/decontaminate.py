@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_documents, session
+from .common import bounded_batches, drop_documents, give_back, session
 
 N, RARE, MIN_SCORE = 3, 0.75, 0.6
 BLOCK_WORDS = 2_000_000
@@ -105,6 +105,7 @@ def _counter(grams: np.ndarray, sizes: list[int], n: int):
                 _, found = _occurrences(grams, sizes, _hashes(words_of(text), known), n)
                 if len(found):
                     total[np.unique(found)] += 1
+            give_back()
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(total[k])], ["gram", "documents"])
 
@@ -199,6 +200,8 @@ def _matcher(items: Items, min_score: float):
                 share = score / (MATCH * len(items.words[i]))
                 if share >= min_score and share > best.get((doc, i), (0,))[0]:
                     best[doc, i] = (share, a + first, a + last)
+            del todo, pairs, known
+            give_back()
             rows = [(d, items.ids[i], *v) for (d, i), v in best.items()]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows)) or [[]] * 5

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, cut, join_checked, session
+from .common import bounded_batches, connected_components, cut, give_back, join_checked, session
 
 BANDS, ROWS, BITS = 36, 7, 256
 BATCHES = BITS // 64
@@ -121,6 +121,8 @@ def _signatures(k: int):
                 ],
                 ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
             )
+            del sets, mins, rows, keys, known
+            give_back()
 
     return run
 
@@ -219,6 +221,7 @@ def _verifier(k: int, percent: int, least: list[int]):
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
                 links = []
+            give_back()
         links += _verify(rows, k, percent, least) if len(rows) > 1 else []
         yield pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 

@@ -34,6 +34,7 @@ from .common import TwoAges, bounded_batches, give_back, session, worker_cache
 
 MARK = "▁"
 KNOWN_PARTS = 80_000
+CELLS = 1 << 18
 SLICE = 1 << 20
 ENCODED = T.StructType(
     [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_bytes_fallback", "ids_crc32")] + [T.StructField("lossless", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
@@ -152,7 +153,7 @@ def segment(pieces: Pieces, parts: list[bytes]) -> list[bytes]:
     while at < len(order):
         longest = max(8, int(sizes[order[at]]) * 5 // 4)
         upto = int(np.searchsorted(sizes[order], longest, side="right"))
-        upto = min(upto, at + max(1, (1 << 21) // longest))
+        upto = min(upto, at + max(1, CELLS // longest))
         who = order[at:upto]
         for i, ids in zip(who, _viterbi(pieces, [parts[i] for i in who])):
             out[i] = ids
@@ -162,15 +163,15 @@ def segment(pieces: Pieces, parts: list[bytes]) -> list[bytes]:
 
 def _viterbi(pieces: Pieces, parts: list[bytes]) -> list[bytes]:
     n, width = len(parts), max(map(len, parts))
-    text = np.zeros((n, width + 4), np.int64)
+    text = np.zeros((n, width + 4), np.uint8)
     flat = np.frombuffer(b"".join(parts), np.uint8)
     sizes = np.array([len(p) for p in parts])
     text[np.repeat(np.arange(n), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     starts = (text & 0xC0) != 0x80  # first bytes of characters
     best = np.full((n, width + 1), -np.inf)
     best[:, 0] = 0.0
-    came = np.zeros((n, width + 1), np.int64)
-    by = np.full((n, width + 1), -1, np.int64)
+    came = np.zeros((n, width + 1), np.int32)
+    by = np.full((n, width + 1), -1, np.int32)
     for i in range(width):
         rows = np.flatnonzero((i < sizes) & starts[:, i])
         if not len(rows):
