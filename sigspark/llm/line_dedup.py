@@ -1,16 +1,19 @@
-"""Removal of line chunks that repeat anywhere in the corpus, by content-defined chunking.
+"""Removal of runs of lines that repeat anywhere in the corpus.
 
-A text is cut after each line whose rolling hash (over the hashes of the line and the one before it) is
-divisible by ``divisor``, and before and after each line of at least ``min_words`` words. Boundaries thus
-depend on a few lines around them only: lines added elsewhere do not shift them. A chunk takes part if it
-has two lines or more, or min_words words. Of every chunk that occurs more than once in the corpus, the
-first occurrence (in order of doc_id, then of place) stays and the others go, after their bytes have been
-compared; chunks whose hashes collide but whose bytes differ count as different.
+A chunk is a pair of neighbouring lines with text (and the blank lines between them), or one line of at
+least ``min_words`` words. Of every chunk that occurs more than once in the corpus, the first occurrence (in
+order of doc_id, then of place) stays and the lines of the others go, after their bytes have been compared;
+chunks whose hashes collide but whose bytes differ count as different. As each pair of a run that occurs
+earlier occurs earlier too, and each pair found is such a run, exactly the lines go that lie in a run of two
+lines or more, or are a line of min_words words, that occurs earlier: no boundary can hide an end of it.
 
 Defined results: null and empty texts pass unchanged; repeated rows (same doc_id and text) count as one
-occurrence, so their first chunks stay in each; a null doc_id sorts first; a document all of whose text
-went is left out by ``line_dedup`` and has an empty text and ``emptied`` in ``dedup_lines``; an empty table
-gives an empty result; extra columns pass untouched. Built-in functions only.
+occurrence, so their first chunks stay in each; a pair that shares a line with its own first occurrence (the
+third of three equal lines) stays; where runs overlap, a line may go that is part of the first occurrence of
+another run, but a copy of each line stays; a null doc_id sorts first; a document all of whose lines with
+text went is left out by ``line_dedup`` and has an empty text and ``emptied`` in ``dedup_lines``;
+n_chunks_removed counts stretches of lines removed; an empty table gives an empty result; extra columns pass
+untouched. Built-in functions only.
 """
 
 from __future__ import annotations
@@ -24,28 +27,28 @@ from .common import cut, join_checked, let
 
 DIVISOR, MIN_WORDS = 4, 50
 WORD = r"[^\x20\x09-\x0D]+"
+BLANK = " \t\n\x0b\x0c\r"
 
 
 def _chunked(docs: DataFrame, divisor: int, min_words: int) -> DataFrame:
-    """docs with _chunks: array of (text, lines, words if it is one line). A barrier after each array that lambdas use."""
+    """docs with _lines and _chunks: array of (text, whole: always true, start and end line). A barrier after each array that lambdas use.
+
+    Chunks do not depend on divisor, which callers may still give.
+    """
     rows = docs.where("text is not null")
     rows = let(rows, _lines=F.split("text", "\n", -1))
+    rows = let(rows, _blank=F.transform("_lines", lambda x: F.length(F.btrim(x, F.lit(BLANK))) == 0))
+    long = F.transform("_lines", lambda x: (F.length(x) >= 2 * min_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= min_words))
+    rows = let(rows, _at=F.expr("filter(sequence(0, size(_lines) - 1), i -> not _blank[i])"), _long=long)
     rows = let(
         rows,
-        _h=F.transform("_lines", lambda x: F.xxhash64(x)),
-        _long=F.transform("_lines", lambda x: (F.length(x) >= 2 * min_words - 1) & (F.regexp_count(x, F.lit(WORD)) >= min_words)),
-    )
-    ends = F.expr(
-        f"filter(sequence(1, size(_lines)), i -> i = size(_lines) or _long[i - 1] or _long[i] or pmod(xxhash64(_h[greatest(i - 2, 0)], _h[i - 1]), {divisor}) = 0)"
-    )
-    rows = let(rows, _ends=ends)
-    return let(
-        rows,
-        _chunks=F.expr(
-            """transform(_ends, (e, j) -> named_struct('text', array_join(slice(_lines, if(j = 0, 0, _ends[j - 1]) + 1, e - if(j = 0, 0, _ends[j - 1])), '\n'),
-               'whole', e - if(j = 0, 0, _ends[j - 1]) > 1 or _long[e - 1]))"""
+        _spans=F.expr(
+            """concat(transform(slice(_at, 1, greatest(size(_at) - 1, 0)), (a, j) -> named_struct('a', a, 'b', _at[j + 1])),
+               transform(filter(_at, i -> _long[i]), i -> named_struct('a', i, 'b', i)))"""
         ),
-    ).drop("_lines", "_h", "_long", "_ends")
+    )
+    chunks = "transform(_spans, s -> named_struct('text', array_join(slice(_lines, s.a + 1, s.b - s.a + 1), '\n'), 'whole', true, 'start', s.a, 'end', s.b))"
+    return let(rows, _chunks=F.expr(chunks)).drop("_blank", "_long", "_at", "_spans")
 
 
 def repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS, hashed: Callable[[str], Column] = F.xxhash64) -> DataFrame:
@@ -56,7 +59,7 @@ def repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS,
     occurs. Under hashes whose two texts differ, chunks are grouped by their bytes.
     """
     chunks = _chunked(docs.select("doc_id", "text"), divisor, min_words).select("doc_id", F.xxhash64("text").alias("_hash"), F.posexplode("_chunks").alias("pos", "c"))
-    chunks = chunks.where("c.whole").select("doc_id", "_hash", "pos", F.col("c.text").alias("chunk")).where(F.col("chunk").rlike(r"[^\x20\x09-\x0D]"))
+    chunks = chunks.select("doc_id", "_hash", "pos", F.expr("c.end > c.start").alias("pair"), F.col("c.text").alias("chunk"))
     chunks = chunks.withColumn("key", hashed("chunk"))
     place = F.struct("doc_id", "_hash", "pos")
     known = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("key", "first")
@@ -67,6 +70,8 @@ def repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS,
     firsts = apart.groupBy("key", "chunk").agg(F.min(place).alias("first"))
     apart = apart.join(firsts, ["key", "chunk"]).select(alike.columns)
     gone = alike.unionByName(apart).where(~place.eqNullSafe(F.col("first")))  # equal rows only
+    beside = F.struct("doc_id", "_hash", F.expr("pos - 1").alias("pos"))  # three equal lines: the second pair shares one with the first
+    gone = gone.where(~(F.col("pair") & beside.eqNullSafe(F.col("first"))))
     return gone.groupBy("doc_id", "_hash").agg(F.collect_set("pos").alias("_gone"))  # as many as the text has chunks
 
 
@@ -81,10 +86,12 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WO
     marked = join_checked(row, keyed, ["_key", "_hash"], "left", rows=500_000, size=F.size("_gone") * 4, salt=False)
     same = marked.where("_gone is null").select(*own, F.lit(0).alias("n_chunks_removed"), F.lit(False).alias("emptied"))
     cutting = _chunked(marked.where("_gone is not null").withColumn("text", F.col(text)), divisor, min_words)
-    cutting = let(cutting, _left=F.expr("filter(_chunks, (c, i) -> not array_contains(_gone, i)).text"))
-    new = F.array_join("_left", "\n").alias("text")
+    cutting = let(cutting, _out=F.expr("array_distinct(flatten(transform(_gone, p -> sequence(_chunks[p].start, _chunks[p].end))))"))
+    cutting = let(cutting, _left=F.expr("array_except(sequence(0, size(_lines) - 1), _out)"), _n=F.expr("size(array_except(_out, transform(_out, i -> i + 1)))"))
+    cutting = let(cutting, _new=F.expr("transform(_left, i -> _lines[i])"), _rest=F.expr("exists(_left, i -> length(btrim(_lines[i], ' \\t\\n\\u000b\\u000c\\r')) > 0)"))
+    new = F.when(F.col("_rest"), F.array_join("_new", "\n")).otherwise("").alias("text")
     fields = [new if c == "text" else own[i] for i, c in enumerate(docs.columns)]
-    cutting = cutting.select(*fields, F.size("_gone").alias("n_chunks_removed"), (F.size("_left") == 0).alias("emptied"))
+    cutting = cutting.select(*fields, F.col("_n").alias("n_chunks_removed"), (~F.col("_rest")).alias("emptied"))
     return same.unionByName(cutting)
 
 

@@ -134,6 +134,37 @@ def test_line_dedup_compares_bytes(spark):
         assert gone == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_short_runs_in_any_surroundings(spark, seed):
+    r = random.Random(seed)
+    passages = [[" ".join(prose(1000 * seed + 10 * i + j, 12 if n > 4 else 30)) for j in range(n)] for i, n in enumerate((2, 3, 4, 5, 6))]
+    texts = [""]
+    for k in range(40):
+        own = lambda j: [" ".join(prose(10**6 + 100 * k + j + i, 7)) for i in range(r.randrange(4))]  # noqa: B023, E731
+        texts.append("\n".join([*own(0), *r.choice(passages), *own(10), *r.choice(["", " \n"]).split("\n"), *own(20)]))
+    texts += ["a\na\na", "b\nb\nb\nb\nb", "k\n\nl\nk\n\nl\nk\nl", "\n".join(passages[0][:1] + ["x"])]
+
+    def blank(x):
+        return not x.strip(" \t\n\x0b\x0c\r")
+
+    earlier, want = {}, {}  # every run of two lines or more, and of 50 words, is looked up as it is
+    for d, t in enumerate(texts):
+        lines, gone = t.split("\n"), set()
+        for i in range(len(lines)):
+            for j in range(i, min(i + 12, len(lines))):
+                run = lines[i : j + 1]
+                if blank(run[0]) or blank(run[-1]) or (sum(not blank(x) for x in run) < 2 and len(run[0].split()) < 50):
+                    continue
+                first = earlier.setdefault("\n".join(run), (d, j))
+                if first[0] < d or first[1] < i:
+                    gone |= set(range(i, j + 1))
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        want[d] = (t, False) if not gone else ("\n".join(left), False) if not all(map(blank, left)) else ("", True)
+    got = {x.doc_id: (x.text, x.emptied) for x in ld.dedup_lines(docs(spark, texts)).collect()}
+    assert got == want
+    assert sum(got[d][0] != t for d, t in enumerate(texts)) >= 35
+
+
 def test_html(spark):
     page = '<html><body><nav><a href="/">Menu</a></nav><div class="ad">Buy</div><article><h1>T &amp; x</h1><p>A  b<br>c<p>D <b>e</b><div class="comments"><p>no</p></div><form>f</form></article><footer>F</footer><script>var x="</p>"</script></body></html>'
     pages = spark.createDataFrame([(0, "http://a.example/x", page), (1, None, None), (2, "x", "<p>only"), (3, "http://a.example/y", "")], "page_id long, url string, html string")
