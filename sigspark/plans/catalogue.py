@@ -333,6 +333,13 @@ def conflicting_action(spark, d):
     return A.conflicting_actions(both).groupBy("rules").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("conflicting_signatures", None)
+def conflicting_signatures(spark, d):
+    """Every rule once with alert and once with drop: one row a signature, with its rules. A hash over the rule's text has no SQL."""
+    both = rules_from_events(spark, d).withColumn("action", F.explode(F.array(F.lit("alert"), F.lit("drop"))))
+    return A.conflicting_actions(both)
+
+
 @register("shadowing", """, s AS (SELECT id, protocol, direction, port FROM r WHERE id % 3 = 0 UNION ALL SELECT id, protocol, direction, unnest([80, 443]) FROM r WHERE id % 3 = 2)
   SELECT DISTINCT g.id AS general, s.id AS specific FROM r g JOIN s ON g.protocol = s.protocol AND g.direction = s.direction AND s.port BETWEEN g.lo AND g.lo + 20 WHERE g.id % 3 = 1 AND g.id % 7 = 0 AND s.id % 7 = 0""")
 def shadowing(spark, d):

@@ -106,3 +106,20 @@ def test_against_sql(spark, name):
     want = con.sql(entry.oracle_sql()[name]).df()[cols].astype(str).sort_values(cols).reset_index(drop=True)
     have = got.toPandas()[cols].astype(str).sort_values(cols).reset_index(drop=True)
     assert have.equals(want)
+
+
+def test_conflicts_cover_all_rules(spark):
+    import hashlib
+    from collections import Counter
+
+    import __spark_entry__ as entry
+    from sigspark.plans.bridge import rules_from_events
+
+    d = "/root/testdata/sf0.001"
+    want = Counter()
+    for r in rules_from_events(spark, d).collect():
+        body = ";".join(sorted(o.raw for o in r.options if o.node_type not in S.METADATA_TYPES))
+        sig = "|".join([r.protocol, r.src_addr.text, r.src_port.text, r.direction, r.dst_addr.text, r.dst_port.text, body])
+        want[hashlib.sha256(sig.encode()).hexdigest()] += 2
+    got = {r.signature: r.rules for r in entry.queries()["conflicting_signatures"](spark, d).collect()}
+    assert got == want and sum(got.values()) == 2 * rules_from_events(spark, d).count()
