@@ -346,6 +346,13 @@ def shadowing(spark, d):
     return A.shadowed_ports(rules_from_events(spark, d).where("exists(options, o -> o.node_type = 'PcreOption')"), id_column="id")
 
 
+@register("shadowed_rules", None)
+def shadowed_rules(spark, d):
+    """Each rule whose port range holds single ports of other rules, with their number and least id. Too many pairs for SQL."""
+    pairs = A.shadowed_ports(rules_from_events(spark, d), id_column="id")
+    return pairs.groupBy("general").agg(F.count(F.lit(1)).alias("rules"), F.min("specific").alias("first_specific"))
+
+
 @register("security_score", """SELECT id, greatest(0, 100 - (CASE WHEN id % 4 = 0 THEN 20 ELSE 0 END + CASE WHEN id % 5 = 0 THEN 10 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 10 ELSE 0 END + CASE WHEN msg IS NULL THEN 5 ELSE 0 END + CASE WHEN sid IS NULL THEN 30 ELSE 0 END
   + CASE WHEN id % 3 = 2 OR id % 3 = 0 AND port in (80, 443, 8080, 8443, 53) THEN 10 ELSE 0 END))::INT AS score, (2 + CASE WHEN id % 5 = 0 THEN 2 ELSE 0 END + CASE WHEN id % 7 = 0 THEN 5 ELSE 0 END)::INT AS complexity FROM r""")
 def security_score(spark, d):

@@ -123,3 +123,20 @@ def test_conflicts_cover_all_rules(spark):
         want[hashlib.sha256(sig.encode()).hexdigest()] += 2
     got = {r.signature: r.rules for r in entry.queries()["conflicting_signatures"](spark, d).collect()}
     assert got == want and sum(got.values()) == 2 * rules_from_events(spark, d).count()
+
+
+def test_shadowed_rules_cover_all_rules(spark):
+    import __spark_entry__ as entry
+    from sigspark.plans.bridge import rules_from_events
+
+    d = "/root/testdata/sf0.001"
+    rules = rules_from_events(spark, d).select("id", "protocol", "direction", "dst_port.atoms").collect()
+    want = {}
+    for g in rules:
+        for lo, hi in [(a.start, a.end) for a in g.atoms if a.node_type == "PortRange" and not a.negated]:
+            for s in rules:
+                if s.id != g.id and (s.protocol, s.direction) == (g.protocol, g.direction):
+                    if any(a.node_type == "Port" and not a.negated and lo <= a.value <= hi for a in s.atoms):
+                        want.setdefault(g.id, set()).add(s.id)
+    got = {r.general: (r.rules, r.first_specific) for r in entry.queries()["shadowed_rules"](spark, d).collect()}
+    assert got == {g: (len(v), min(v)) for g, v in want.items()} and len(got) > 5
