@@ -303,12 +303,17 @@ def _sigs(spark: SparkSession, d: str) -> DataFrame:
 
 @register("lsh_candidates", None)
 def lsh_candidates(spark, d):
-    return M.candidates(_sigs(spark, d))
+    """Candidate pairs of representatives, and each representative with the rules of its own signature."""
+    sigs = _sigs(spark, d)
+    pairs = M.candidates(sigs).withColumn("similarity", F.lit(None).cast("double"))
+    return M.with_members(pairs, M.membership(sigs)).select("id_a", "id_b")
 
 
 @register("similarity_pairs", None)
 def similarity_pairs(spark, d):
-    return M.similar_pairs(_sigs(spark, d))
+    """Pairs of representatives by the estimate, and each representative with the rules of its own signature."""
+    sigs = _sigs(spark, d)
+    return M.with_members(M.similar_pairs(sigs), M.membership(sigs))
 
 
 @register("lsh_stats", None)
@@ -361,7 +366,7 @@ def security_score(spark, d):
 
 @register("doc_near_duplicates", None)
 def doc_near_duplicates(spark, d):
-    """Signatures and LSH over the word pairs of documents."""
+    """Pairs of documents by their sets of five-word shingles, lower case, found by LSH and confirmed on the full sets; copies included."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split(F.lower("text"), r"\s+").alias("w")).repartition(spark.sparkContext.defaultParallelism)
     shingles = F.expr("array_distinct(if(size(w) > 4, transform(sequence(0, size(w) - 5), i -> array_join(slice(w, i + 1, 5), ' ')), array(array_join(w, ' '))))")
-    return M.similar_pairs(M.signatures(docs.select("doc_id", shingles.alias("f")), "doc_id", "f"))
+    return M.confirmed_pairs(docs.select("doc_id", shingles.alias("f")), "doc_id", "f")

@@ -140,3 +140,46 @@ def test_shadowed_rules_cover_all_rules(spark):
                         want.setdefault(g.id, set()).add(s.id)
     got = {r.general: (r.rules, r.first_specific) for r in entry.queries()["shadowed_rules"](spark, d).collect()}
     assert got == {g: (len(v), min(v)) for g, v in want.items()} and len(got) > 5
+
+
+def test_confirmed_pairs_equal_brute_force(spark):
+    import itertools
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(40)]
+        for _ in range(8):
+            w = list(base)
+            for _ in range(r.randrange(8)):
+                w[r.randrange(40)] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), w))
+    rows += [(len(rows) + i, rows[i][1]) for i in range(5)]
+    rows.append((len(rows), []))
+    reps, want = {}, set()
+    for i, w in rows:
+        if w and reps.setdefault(frozenset(w), i) != i:
+            want.add((reps[frozenset(w)], i, 1.0))
+    for (a, i), (b, j) in itertools.combinations(reps.items(), 2):
+        if len(a & b) / len(a | b) >= 0.8:
+            want.add((i, j, len(a & b) / len(a | b)))
+    df = spark.createDataFrame(rows, "id long, f array<string>")
+    assert {tuple(x) for x in M.confirmed_pairs(df, "id", "f").collect()} == want
+    sigs = M.signatures(df.where("size(f) > 0"), "id", "f")
+    members = M.membership(sigs)
+    assert {(x.rep, x.id) for x in members.collect() if x.rep != x.id} == {(a, b) for a, b, s in want if s == 1.0}
+    assert members.count() == len(rows) - 1
+
+
+def test_similarity_queries_return_copies(spark):
+    import __spark_entry__ as entry
+
+    d = "/root/testdata/sf0.001"
+    texts = {}
+    for x in spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect():
+        if x.text:
+            texts.setdefault(x.text.lower(), []).append(x.doc_id)
+    got = {(x.id_a, x.id_b) for x in entry.queries()["doc_near_duplicates"](spark, d).collect()}
+    copies = [(v[0], i) for v in texts.values() for i in v[1:]]
+    assert copies and {b for _, b in copies} <= {b for _, b in got}
