@@ -2,11 +2,12 @@
 
 1. Every page is read into a light tree by one pass over its tags. Each container (an element that holds
    text blocks of its own) is scored: characters of its blocks outside boilerplate, less those in links.
-2. The best containers of each page vote for their generalised path (tag and class names from the root,
+2. The containers of each page vote for their generalised path (tag and class names from the root,
    digits in class names replaced by #). Spark adds the votes up by host and path, and the path with the
    highest score per page of the host wins.
-3. The winners are joined to the pages, which are read again: the text is that of the elements on the
-   winning path, or, on a page without it, of the page's own best container.
+3. The winners are joined to the pages, which are read again: the elements on the winning path, or, on a
+   page without it, the page's own best container, are widened to the nearest article around them, else the
+   nearest main, else the outermost container below body with further text of its own, and give the text.
 
 Blocks are block-level elements and table cells; <br> is white space in a block. Boilerplate inside the
 container (by tag, role or class and id words) is left out: menus, headers and footers, sidebars, notices,
@@ -190,8 +191,31 @@ def _totals(blocks: list[tuple[_Node, str]], containers: list[_Node]) -> list[tu
     return sorted(((scores[id(x)], x) for x in containers if scores.get(id(x))), key=lambda s: (-s[0], s[1].path))
 
 
-def votes(source: str | None, most: int = 3) -> list[tuple[str, int]]:
-    """The generalised paths of the page's best containers with their whole-number scores."""
+def _widened(chosen: dict[int, _Node], blocks: list[tuple[_Node, str]]) -> set[int]:
+    """The ids of the containers that give the text: chosen ones, or what is around them and holds more of the article."""
+    more: set[int] = set()
+    for node, _ in blocks:
+        above, up, inner = [], node, None
+        while up is not None and id(up) not in chosen:
+            above.append(id(up))
+            inner = inner or (up if up.tag in CONTAINERS else None)
+            up = up.up
+        if up is None and inner is not None and inner.chars > 2 * inner.links and _kept(node):
+            more.update(above)
+    out = set()
+    for node in chosen.values():
+        around, up = [], node
+        while up is not None and up.tag not in ("body", "html", ""):
+            if up.tag in CONTAINERS and not up.hidden:
+                around.append(up)
+            up = up.up
+        whole = next((x for t in ("article", "main") for x in around if x.tag == t), None)
+        out.add(id(whole or next((x for x in reversed(around) if id(x) in more), node)))
+    return out
+
+
+def votes(source: str | None, most: int | None = None) -> list[tuple[str, int]]:
+    """The generalised paths of the page's containers (of the most best ones, if given) with their whole-number scores."""
     if not source:
         return []
     best: dict[str, int] = {}
@@ -205,16 +229,17 @@ def extract(source: str | None, path: str | None) -> str:
     if not source:
         return ""
     blocks, containers = read(source)
-    chosen = {id(x) for x in containers if x.path == path and not x.hidden}
+    chosen = {id(x): x for x in containers if x.path == path and not x.hidden}
     if not chosen:
         best = _totals(blocks, containers)
         if not best:
             return ""
-        chosen = {id(best[0][1])}
+        chosen = {id(best[0][1]): best[0][1]}
+    wide = _widened(chosen, blocks)
     out = []
     for node, text in blocks:
         up: _Node | None = node
-        while up is not None and id(up) not in chosen:
+        while up is not None and id(up) not in wide:
             up = up.up
         if up is not None and _kept(node):
             out.append(text)

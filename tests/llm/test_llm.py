@@ -174,6 +174,21 @@ def test_html(spark):
     assert he.main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class=content><h1>Top</h1><p>lead</p><div class=section>{0}</div><div class=section>{1}</div></div>",
+        "<div class=content><h1>Top</h1><p>lead</p><table><tr><td>{0}</td><td>{1}</td></tr></table></div>",
+        "<article><header><h1>Top</h1></header><p>lead</p><div><div>{0}</div><div>{1}</div></div></article>",
+    ],
+)
+def test_html_keeps_what_is_around_the_winner(page):
+    a, b = " ".join(prose(1, 70)), " ".join(prose(2, 70))
+    source = "<html><body><nav>Menu</nav>" + page.format(a, b) + "<footer>F</footer></body></html>"
+    path = he.votes(source)[0][0]
+    assert he.extract(source, path) == "\n\n".join(["Top", "lead", a, b])
+
+
 def test_url_filter(spark):
     link = '<link rel="canonical" href="/es/1">'
     rows = [
