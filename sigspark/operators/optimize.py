@@ -10,6 +10,8 @@ from ..functions.columns import let, quoted, sql_case
 from ..functions.cost import position_penalty, rule_cost
 
 ROUNDS = 3
+#: strategy -> its count in the statistics
+STRATEGIES = {"OptionReorder": "reorders", "FastPattern": "fast_patterns", "RedundancyRemoval": "removals"}
 _ORDER = sql_case("o.node_type", S.REORDER, "50")
 
 
@@ -62,12 +64,12 @@ def optimize(rules: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             rows = let(rows, _s=F.when(changed, F.array_append("strategies", F.lit(name))).otherwise(F.col("strategies"))).drop("strategies", "optimized")
             rows = rows.withColumnsRenamed({"_s": "strategies", "_next": "optimized"})
     rows = let(rows, cost_before=rule_cost("options"), cost_after=rule_cost("optimized"), penalty_before=position_penalty("options"), penalty_after=position_penalty("optimized"))
-    gain = F.when(F.col("cost_before") > 0, (F.col("cost_before") - F.col("cost_after")) / F.col("cost_before") * 100).otherwise(0.0)
+    gain = F.when(F.col("cost_before") > 0, F.round((F.col("cost_before") - F.col("cost_after")) / F.col("cost_before") * 100, 9)).otherwise(0.0)  # sums in another order differ in their last digits
     return rows.withColumns({"improvement": gain, "modified": F.size("strategies") > 0})
 
 
 def optimizer_statistics(optimized: DataFrame) -> DataFrame:
-    """One row: totals, rate, and the mean and largest of positive improvements."""
+    """One row: totals, rate, the mean and largest of positive improvements, and how often each strategy changed a rule."""
     better = F.when(F.col("improvement") > 0, F.col("improvement"))
     n = F.count(F.lit(1))
     return optimized.agg(
@@ -77,4 +79,5 @@ def optimizer_statistics(optimized: DataFrame) -> DataFrame:
         F.coalesce(F.avg(better), F.lit(0.0)).alias("avg_improvement"),
         F.coalesce(F.max(better), F.lit(0.0)).alias("max_improvement"),
         F.coalesce(F.sum(F.size("strategies")), F.lit(0)).alias("optimizations"),
+        *[F.coalesce(F.sum(F.expr(f"size(filter(strategies, s -> s = '{name}'))")), F.lit(0)).alias(alias) for name, alias in STRATEGIES.items()],
     )

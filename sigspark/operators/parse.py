@@ -13,16 +13,24 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.columns import let, quoted, sql_array, sql_case
 
-_ATOM = r"!?(?:\[(?:[^\[\]]|\[(?:[^\[\]]|\[[^\[\]]*\])*\])*\]|[^\s\[\]()]+)"
+# Every repeated group is possessive: java.util.regex runs those in a loop, others by recursion, which long rules overflow.
+_NEST = r"\[(?:[^\[\]]++|\[(?:[^\[\]]++|\[[^\[\]]*+\])*+\])*+\]"
+_ATOM = rf"!?+(?:{_NEST}|[^\s\[\]()]++)"
+_ELEMENT = rf"[!\s]*+(?:{_NEST}|[^\s\[\],!]++)"
 HEADER = (
     r"(?s)^\s*(" + "|".join(S.ACTIONS) + r")\s+([a-z0-9_-]+)(?:\s+(" + _ATOM + r")\s+(" + _ATOM + r")\s+(->|<-|<>)\s+(" + _ATOM + r")\s+(" + _ATOM + r"))?\s*\((.*)\)\s*;?\s*$"
 )
-OPTION = r'((?:[^;"\\]|"(?:[^"\\]|\\.)*"|\\.)+)'
-OPTIONS_WHOLE = r'(?s)^(?:[^;"\\]|"(?:[^"\\]|\\.)*"|\\.|;)*$'
-QUOTED = r'(?s)^!?\s*"(?:[^"\\]|\\.)*"$'
+_GROUPS, _MARK = 8, "\x01"
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+#: Options end at ; and, as in Snort 3, at a comma before a known keyword and its colon.
+OPTION = rf'(?s)((?:[^;,"\\]++|{_STRING}|\\.|,(?!\s*+(?:' + "|".join((*S.OPTION_TYPES, *S.GENERIC_KEYWORDS)) + r")\s*+:))++)"
+OPTIONS_WHOLE = rf'(?s)^(?:[^;"\\]++|{_STRING}|\\.|;)*+$'
+QUOTED = rf"(?s)^!?\s*{_STRING}$"
 _ADDRESS = r"^(any|\$\w+|[0-9a-fA-F:.]+(/\d{1,3})?|[0-9a-fA-F:.]+-[0-9a-fA-F:.]+)$"
 _PORT = r"^(any|\$\w+|\d{1,6}|\d{1,6}:(\d{1,6})?|:\d{1,6})$"
 
+_BODY = rf"(?s)^!?\s*({_STRING}|[|][0-9A-Fa-f\s]*[|])"
+
 
 def unquote(v: str) -> str:
     """SQL for a string without its quotes and escapes."""
@@ -40,28 +48,36 @@ def content_bytes(v: str) -> str:
     )
 
 
+def _pairs(text: str, negated: str, depth: int = 0) -> str:
+    """SQL for the leaves (x) of a list with whether an odd number of negations hold them (n), level by level: linear in the text."""
+    e, q = f"e{depth}", f"q{depth}"
+    odd = f"length(regexp_replace(regexp_extract({e}, '^[!\\\\s]*+', 0), '\\\\s', '')) % 2 = 1"
+    bound = f"named_struct('x', regexp_replace({e}, '^[!\\\\s]++', ''), 'n', {negated} <> ({odd}))"
+    parts = f"regexp_extract_all({text}, {quoted(_ELEMENT)}, 0)"
+    if depth == 4:
+        return f"transform({parts}, {e} -> {bound})"
+    inner = _pairs(f"substring({q}.x, 2, length({q}.x) - 2)", f"{q}.n", depth + 1)
+    return f"flatten(transform(transform({parts}, {e} -> {bound}), {q} -> if({q}.x like '[%', {inner}, array({q}))))"
+
+
 def _atoms(text: str, port: bool) -> str:
-    """SQL for the leaves of an address or port: tokens with their depth, a leaf negated if an odd number of negations hold it."""
-    tokens = f"regexp_extract_all({text}, '(!|\\\\[|\\\\]|[^!\\\\[\\\\],\\\\s]+)', 1)"
-    depth = "transform(sequence(1, size(t)), i -> size(filter(slice(t, 1, i), x -> x = '[')) - size(filter(slice(t, 1, i), x -> x = ']')))"
-    holds = "t[j] = '!' and j < i and ((get(t, j + 1) <> '[' and j + 1 = i) or (get(t, j + 1) = '[' and array_min(slice(d, j + 2, greatest(i - j, 0))) >= get(d, j + 1)))"
-    negated = f"size(filter(sequence(0, size(t) - 1), j -> {holds})) % 2 = 1"
+    """SQL for the leaves of an address or port in order, a leaf negated if an odd number of negations hold it."""
+    x = "s.x"
     if port:
-        kind = "CASE WHEN x = 'any' THEN 'AnyPort' WHEN x LIKE '$%' THEN 'PortVariable' WHEN x LIKE '%:%' THEN 'PortRange' ELSE 'Port' END"
+        kind = f"CASE WHEN {x} = 'any' THEN 'AnyPort' WHEN {x} LIKE '$%' THEN 'PortVariable' WHEN {x} LIKE '%:%' THEN 'PortRange' ELSE 'Port' END"
         leaf = (
-            f"named_struct('node_type', {kind}, 'value', try_cast(x as int), 'start', if(x LIKE '%:%', coalesce(try_cast(split(x, ':')[0] as int), 0), null), "
-            "'end', if(x LIKE '%:%', coalesce(try_cast(get(split(x, ':', -1), 1) as int), 65535), null), 'name', if(x LIKE '$%', substring(x, 2), null), 'negated', n)"
+            f"named_struct('node_type', {kind}, 'value', try_cast({x} as int), 'start', if({x} LIKE '%:%', coalesce(try_cast(split({x}, ':')[0] as int), 0), null), "
+            f"'end', if({x} LIKE '%:%', coalesce(try_cast(get(split({x}, ':', -1), 1) as int), 65535), null), 'name', if({x} LIKE '$%', substring({x}, 2), null), 'negated', s.n)"
         )
     else:
-        kind = "CASE WHEN x = 'any' THEN 'AnyAddress' WHEN x LIKE '$%' THEN 'AddressVariable' WHEN x LIKE '%/%' THEN 'IPCIDRRange' WHEN x LIKE '%-%' THEN 'IPRange' ELSE 'IPAddress' END"
+        kind = f"CASE WHEN {x} = 'any' THEN 'AnyAddress' WHEN {x} LIKE '$%' THEN 'AddressVariable' WHEN {x} LIKE '%/%' THEN 'IPCIDRRange' WHEN {x} LIKE '%-%' THEN 'IPRange' ELSE 'IPAddress' END"
         leaf = (
-            f"named_struct('node_type', {kind}, 'value', if({kind} = 'IPAddress', x, null), 'version', if(x = 'any' or x LIKE '$%', null, if(x LIKE '%:%', 6, 4)), "
-            "'network', if(x LIKE '%/%', split(x, '/')[0], null), 'prefix_len', if(x LIKE '%/%', try_cast(get(split(x, '/'), 1) as int), null), "
-            "'start', if(x LIKE '%-%', split(x, '-')[0], null), 'end', if(x LIKE '%-%', get(split(x, '-'), 1), null), 'name', if(x LIKE '$%', substring(x, 2), null), 'negated', n)"
+            f"named_struct('node_type', {kind}, 'value', if({kind} = 'IPAddress', {x}, null), 'version', if({x} = 'any' or {x} LIKE '$%', null, if({x} LIKE '%:%', 6, 4)), "
+            f"'network', if({x} LIKE '%/%', split({x}, '/')[0], null), 'prefix_len', if({x} LIKE '%/%', try_cast(get(split({x}, '/'), 1) as int), null), "
+            f"'start', if({x} LIKE '%-%', split({x}, '-')[0], null), 'end', if({x} LIKE '%-%', get(split({x}, '-'), 1), null), 'name', if({x} LIKE '$%', substring({x}, 2), null), 'negated', s.n)"
         )
-    leaves = f"transform(filter(sequence(0, size(t) - 1), i -> t[i] NOT IN ('!', '[', ']')), i -> named_struct('x', t[i], 'n', {negated}))"
-    made = f"transform({leaves}, s -> transform(array(s), s2 -> {leaf.replace(' x ', ' s2.x ').replace('(x ', '(s2.x ').replace('(x,', '(s2.x,').replace(', x,', ', s2.x,').replace('WHEN x', 'WHEN s2.x').replace(', n)', ', s2.n)')})[0])"
-    return f"transform(array({tokens}), t -> transform(array({depth}), d -> {made})[0])[0]"
+    plain = f"not (contains({text}, '[') or contains({text}, '!'))"
+    return f"transform(if({plain}, array(named_struct('x', {text}, 'n', false)), {_pairs(text, 'false')}), s -> {leaf})"
 
 
 def _side(text: str, port: bool) -> Column:
@@ -74,11 +90,12 @@ def _side(text: str, port: bool) -> Column:
 
 def _option_type(k: str) -> str:
     table = dict(S.OPTION_TYPES) | {b: "BufferSelectOption" for b in S.BUFFERS} | {b.replace("_", ".", 1): "BufferSelectOption" for b in S.BUFFERS}
-    return sql_case(k, table, "'GenericOption'")
+    types = sql_array(["GenericOption", *table.values()])
+    return f"{types}[array_position({sql_array(table)}, {k})]"
 
 
-def _options() -> Column:
-    """Typed options from _kv: array of (k, v, raw)."""
+def _option_struct() -> str:
+    """SQL: the typed option of x from _kv, array of (k, v, t), at place i."""
     x, v = "x", "x.v"
     is_content = "x.k IN ('content', 'uricontent')"
     body = f"regexp_extract({v}, '(?s)^!?\\\\s*(\"(?:[^\"\\\\\\\\]|\\\\\\\\.)*\"|[|][0-9A-Fa-f\\\\s]*[|])', 1)"
@@ -97,11 +114,11 @@ def _options() -> Column:
     numbers = ("sid", "rev", "gid", "priority", "depth", "offset", "distance", "within")
     fields = {
         "ordinal": "cast(i as int)",
-        "node_type": _option_type("x.k"),
+        "node_type": "x.t",
         "keyword": "x.k",
         "text": on(("msg",), unquote(v)),
         "value_int": on(numbers, f"try_cast(trim({v}) as bigint)"),
-        "value_str": f"CASE WHEN x.k IN {('classtype', *numbers[4:])} THEN trim({v}) WHEN {_option_type('x.k')} = 'GenericOption' THEN {unquote_plain(v)} END",
+        "value_str": f"CASE WHEN x.k IN {('classtype', *numbers[4:])} THEN trim({v}) WHEN x.t = 'GenericOption' THEN {unquote_plain(v)} END",
         "ref_type": on(("reference",), f"trim(split({v}, ',', 2)[0])"),
         "ref_id": on(("reference",), f"trim(get(split({v}, ',', 2), 1))"),
         "entries": on(("metadata",), entries),
@@ -113,7 +130,7 @@ def _options() -> Column:
         "states": on(("flow",), f"filter({words}, e -> array_contains({sql_array(S.FLOW_STATES)}, e))"),
         "action": on(("flowbits",), f"{words}[0]"),
         "name": on(("flowbits",), f"replace(get({words}, 1), '|', '&')"),
-        "buffer_name": f"if({_option_type('x.k')} = 'BufferSelectOption', x.k, null)",
+        "buffer_name": "if(x.t = 'BufferSelectOption', x.k, null)",
         "offset": on(("fast_pattern",), f"try_cast(get({words}, 0) as int)"),
         "length": on(("fast_pattern",), f"try_cast(get({words}, 1) as int)"),
         "direction": on(("filestore",), f"nullif(get({words}, 0), '')"),
@@ -122,7 +139,12 @@ def _options() -> Column:
         "negated": f"coalesce({v} like '!%' and x.k in ('content', 'uricontent', 'pcre', 'lua', 'luajit'), false)",
         "raw": "if(x.v is null, x.k, concat(x.k, ':', x.v))",
     }
-    return F.expr("transform(_kv, (x, i) -> named_struct(" + ", ".join(f"{quoted(k)}, {e}" for k, e in fields.items()) + "))")
+    return "named_struct(" + ", ".join(f"{quoted(k)}, {e}" for k, e in fields.items()) + ")"
+
+
+def _given(side: str) -> str:
+    """SQL for a side of a rule, any of an error rule."""
+    return f"if(_error is null, {side}, 'any')"
 
 
 def unquote_plain(v: str) -> str:
@@ -131,60 +153,67 @@ def unquote_plain(v: str) -> str:
 
 
 def parse(df: DataFrame, text: str = "text", dialect: str = "suricata", max_length: int = 100_000, max_options: int = 1000) -> DataFrame:
-    """Adds the columns of a rule to df."""
-    raw = F.trim(F.col(text))
-    group = lambda i: F.regexp_extract("raw_text", HEADER, i)
-    rows = let(df, raw_text=raw)
-    rows = let(rows, _h=F.array(*[group(i) for i in range(1, 9)]))
+    """Adds the columns of a rule to df.
+
+    Guards come first: a text over max_length is never looked at. Validity depends on the header and the split
+    options alone, so a query that reads neither typed options nor address leaves does not compute them.
+    """
+    rows = df.withColumn("raw_text", F.trim(F.col(text)))
+    marked = F.regexp_replace(F.expr(f"if(length(raw_text) <= {max_length} and not startswith(raw_text, '{_MARK}'), raw_text, '')"), HEADER, _MARK + _MARK.join(f"${i}" for i in range(1, _GROUPS + 1)))
+    rows = rows.withColumn("_m", marked)  # one match for all groups
+    nothing = F.array(*[F.lit("")] * _GROUPS)
+    rows = let(rows, _h=F.when(F.expr(f"startswith(_m, '{_MARK}')"), F.split(F.expr("substring(_m, 2)"), _MARK, _GROUPS)).otherwise(nothing)).drop("_m")
     opts = F.filter(F.transform(F.regexp_extract_all(F.col("_h")[7], F.lit(OPTION), 1), lambda o: F.trim(F.translate(o, "\n\r", "  "))), lambda o: o != "")
-    rows = let(rows, _o=opts)
-    split = F.expr(
-        r"""transform(_o, o -> named_struct('k', regexp_extract(o, '^([A-Za-z0-9_.-]+)', 1),
-            'v', nullif(trim(regexp_extract(o, '(?s)^[A-Za-z0-9_.-]+\\s*[: ]?\\s*(.*)$', 1)), ''), 'raw', o))"""
-    )
+    rows = rows.withColumn("_o", opts)
+    keyed = F.transform("_o", lambda o: F.struct(F.regexp_extract(o, "^([A-Za-z0-9_.-]+)", 1).alias("k"), o.alias("o")))
+    value = r"nullif(trim(regexp_extract(x.o, '(?s)^[A-Za-z0-9_.-]+\\s*[: ]?\\s*(.*)$', 1)), '')"
+    rows = rows.withColumn("_k", keyed)
+    split = F.expr(f"transform(_k, x -> named_struct('k', x.k, 'v', {value}, 't', {_option_type('x.k')}))")
     side = lambda i: F.when(F.col("_h")[i] == "", "any").otherwise(F.col("_h")[i])
-    rows = let(rows, _kv=split, _sa=side(2), _sp=side(3), _da=side(5), _dp=side(6))
     protocol = F.expr(f"CASE WHEN _h[1] = 'ssl' THEN 'tls' WHEN _h[1] = 'ftp_data' THEN 'ftp-data' WHEN _h[1] IN ({', '.join(quoted(p) for p in S.PROTOCOLS)}) THEN _h[1] END")
-    rows = let(rows, options=_options(), src_addr=_side("_sa", False), src_port=_side("_sp", True), dst_addr=_side("_da", False), dst_port=_side("_dp", True), protocol=protocol)
-    bad_atom = lambda c, p: f"exists(regexp_extract_all({c}, '([^!\\\\[\\\\],\\\\s]+)', 1), t -> not t rlike {quoted(p)})"
-    bad_port = "exists({c}.atoms, a -> a.value > 65535 or a.start > 65535 or a.`end` > 65535 or a.start > a.`end`)"
+    rows = rows.withColumns({"_kv": split, "_sa": side(2), "_sp": side(3), "_da": side(5), "_dp": side(6), "_protocol": protocol})
+    leaves = lambda c: f"regexp_extract_all({c}, '([^!\\\\[\\\\],\\\\s]+)', 1)"
+    number = "coalesce(try_cast({} as int), 0)"
+    bad_address = lambda c: f"exists({leaves(c)}, t -> not t rlike {quoted(_ADDRESS)} or try_cast(get(split(t, '/'), 1) as int) > 128)"
+    low, high = number.format("split(t, ':')[0]"), "coalesce(try_cast(get(split(t, ':', -1), 1) as int), if(t LIKE '%:%', 65535, 0))"
+    bad_port = lambda c: f"exists({leaves(c)}, t -> not t rlike {quoted(_PORT)} or {low} > 65535 or {high} > 65535 or (t LIKE '%:%' and {low} > {high}))"
+    value_of = "coalesce(try_cast(trim(x.v) as bigint), 0)"
     problems = {
         "rule is longer than the limit": f"length(raw_text) > {max_length}",
         "header is malformed": "_h[0] = ''",
-        "unknown protocol": "protocol is null",
-        "options are malformed": f"not _h[7] rlike {quoted(OPTIONS_WHOLE)} or exists(_kv, x -> x.k = '')",
+        "unknown protocol": "_protocol is null",
         "too many options": f"size(_kv) > {max_options}",
-        "address is malformed": f"{bad_atom('_sa', _ADDRESS)} or {bad_atom('_da', _ADDRESS)} or exists(src_addr.atoms, a -> a.prefix_len > 128) or exists(dst_addr.atoms, a -> a.prefix_len > 128)",
-        "port is malformed": f"{bad_atom('_sp', _PORT)} or {bad_atom('_dp', _PORT)} or {bad_port.format(c='src_port')} or {bad_port.format(c='dst_port')}",
+        "options are malformed": f"not _h[7] rlike {quoted(OPTIONS_WHOLE)} or exists(_kv, x -> x.k = '')",
+        "address is malformed": f"{bad_address('_sa')} or {bad_address('_da')}",
+        "port is malformed": f"{bad_port('_sp')} or {bad_port('_dp')}",
         "quoted value is malformed": f"exists(_kv, x -> x.k in ('msg', 'pcre') and not coalesce(x.v rlike {quoted(QUOTED)}, false))",
-        "content is malformed": "exists(options, o -> o.node_type = 'ContentOption' and not coalesce(o.raw rlike '(?s)^\\\\w+:!?\\\\s*(\"|[|][0-9A-Fa-f\\\\s]*[|])', false))",
-        "number is out of range": "exists(options, o -> (o.keyword in ('sid', 'rev', 'gid') and coalesce(o.value_int, 0) < 1) or (o.keyword = 'priority' and not coalesce(o.value_int between 1 and 4, false)))",
+        "content is malformed": "exists(_kv, x -> x.t = 'ContentOption' and not coalesce(x.v rlike '(?s)^!?\\\\s*(\"|[|][0-9A-Fa-f\\\\s]*[|])', false))",
+        "number is out of range": f"exists(_kv, x -> (x.k in ('sid', 'rev', 'gid') and {value_of} < 1) or (x.k = 'priority' and not {value_of} between 1 and 4))",
     }
     error = F.expr("CASE WHEN raw_text is null THEN 'no text' " + " ".join(f"WHEN {e} THEN {quoted(m)}" for m, e in problems.items()) + " END")
-    rows = let(rows, _error=error)
+    rows = let(rows.drop("_o", "_k"), _error=error)  # a filter on ok stops here
     ok = F.col("_error").isNull()
-    warn = F.expr(
-        """concat(if(exists(concat(src_addr.atoms, dst_addr.atoms), a -> a.version = 4 and a.prefix_len > 32),
-              array(named_struct('level', 'warning', 'code', 'CIDR_PREFIX', 'message', 'IPv4 prefix is over 32')), array()),
-            if(exists(options, o -> o.keyword = 'uricontent'), array(named_struct('level', 'warning', 'code', 'DEPRECATED', 'message', 'uricontent is deprecated')), array()))"""
-    )
-    failed = F.array(F.struct(F.lit("error").alias("level"), F.lit("PARSE_ERROR").alias("code"), F.col("_error").alias("message")))
-    any_side = lambda port: _side("'any'", port)
-    first = lambda t, f: F.expr(f"get(filter(options, o -> o.node_type = '{t}'), 0).{f}")
     rows = rows.withColumns(
         {
             "ok": ok,
             "dialect": F.lit(dialect),
             "action": F.when(ok, F.col("_h")[0]).otherwise("alert"),
-            "protocol": F.when(ok, F.col("protocol")).otherwise("ip"),
+            "protocol": F.when(ok, F.col("_protocol")).otherwise("ip"),
             "direction": F.when(ok & (F.col("_h")[4] != ""), F.col("_h")[4]).otherwise("->"),
-            **{c: F.when(ok, F.col(c)).otherwise(any_side(c.endswith("port"))) for c in ("src_addr", "src_port", "dst_addr", "dst_port")},
-            "diagnostics": F.when(ok, warn).otherwise(failed),
-            "options": F.when(ok, F.col("options")).otherwise(F.expr("slice(coalesce(options, array()), 1, 0)")),
+            **{n: _side(c, n.endswith("port")) for n, c in (("src_addr", _given("_sa")), ("src_port", _given("_sp")), ("dst_addr", _given("_da")), ("dst_port", _given("_dp")))},
+            "options": F.expr(f"transform(if(_error is null, _kv, slice(_kv, 1, 0)), (x, i) -> {_option_struct()})"),
+            "sid": F.when(ok, F.expr("try_cast(trim(get(filter(_kv, x -> x.t = 'SidOption'), 0).v) as bigint)")),
+            "msg": F.when(ok, F.expr(unquote("get(filter(_kv, x -> x.t = 'MsgOption'), 0).v"))),
         }
     )
-    rows = rows.withColumns({"sid": first("SidOption", "value_int"), "msg": first("MsgOption", "text")})
-    return rows.drop("_h", "_o", "_kv", "_sa", "_sp", "_da", "_dp", "_error")
+    warn = F.expr(
+        """concat(if(exists(concat(src_addr.atoms, dst_addr.atoms), a -> a.version = 4 and a.prefix_len > 32),
+              array(named_struct('level', 'warning', 'code', 'CIDR_PREFIX', 'message', 'IPv4 prefix is over 32')), array()),
+            if(exists(_kv, x -> x.k = 'uricontent'), array(named_struct('level', 'warning', 'code', 'DEPRECATED', 'message', 'uricontent is deprecated')), array()))"""
+    )
+    failed = F.array(F.struct(F.lit("error").alias("level"), F.lit("PARSE_ERROR").alias("code"), F.col("_error").alias("message")))
+    rows = rows.withColumn("diagnostics", F.when(F.col("ok"), warn).otherwise(failed))
+    return rows.drop("_h", "_kv", "_sa", "_sp", "_da", "_dp", "_protocol", "_error")
 
 
 def parse_strict(df: DataFrame, text: str = "text", **options) -> DataFrame:

@@ -29,6 +29,10 @@ a AS (SELECT *, ['alert', 'log', 'pass', 'drop', 'reject', 'sdrop'][(id % 6 + 1)
   id % 1000 + 1 AS lo, user_id % 60000 + 1 AS port FROM e),
 r AS (SELECT * FROM a WHERE ok)"""
 
+_KINDS = """list_filter([CASE WHEN id % 11 <> 0 THEN 'MsgOption' END, CASE WHEN id % 2 = 0 THEN 'FlowOption' END, 'ContentOption', CASE WHEN id % 3 = 0 THEN 'NocaseOption' END,
+  CASE WHEN id % 4 = 0 THEN 'DepthOption' END, CASE WHEN id % 5 = 0 THEN 'ContentOption' END, CASE WHEN id % 7 = 0 THEN 'PcreOption' END, CASE WHEN id % 20 in (1, 2) THEN 'FlowbitsOption' END,
+  'ClasstypeOption', 'PriorityOption', 'ReferenceOption', 'MetadataOption', CASE WHEN id % 13 <> 0 THEN 'SidOption' END, 'RevOption'], lambda x: x IS NOT NULL)"""
+
 
 def register(name: str, sql: str | None):
     def add(f):
@@ -63,9 +67,7 @@ def parse_addresses(spark, d):
     return x.select("id", F.coalesce("p.value", "p.network", "p.name", F.lit("any")).alias("value"), "p.negated")
 
 
-@register("parse_options_exploded", """SELECT id, unnest(list_filter([CASE WHEN id % 11 <> 0 THEN 'MsgOption' END, CASE WHEN id % 2 = 0 THEN 'FlowOption' END, 'ContentOption', CASE WHEN id % 3 = 0 THEN 'NocaseOption' END,
-  CASE WHEN id % 4 = 0 THEN 'DepthOption' END, CASE WHEN id % 5 = 0 THEN 'ContentOption' END, CASE WHEN id % 7 = 0 THEN 'PcreOption' END, CASE WHEN id % 20 in (1, 2) THEN 'FlowbitsOption' END,
-  'ClasstypeOption', 'PriorityOption', 'ReferenceOption', 'MetadataOption', CASE WHEN id % 13 <> 0 THEN 'SidOption' END, 'RevOption'], lambda x: x IS NOT NULL)) AS node_type FROM r""")
+@register("parse_options_exploded", f"""SELECT id, unnest({_KINDS}) AS node_type FROM r""")
 def parse_options_exploded(spark, d):
     return rules_from_events(spark, d).select("id", F.explode("options.node_type").alias("node_type"))
 
@@ -104,9 +106,9 @@ def batches(spark, d):
 
 
 _selector("sel_type", "MsgOption", "SELECT id, msg FROM r WHERE msg IS NOT NULL", "option.text AS msg")
-_selector("sel_universal", "*", """SELECT id, node_type, count(*) AS n FROM (SELECT id, unnest(list_concat(['Rule', 'Header', CASE id % 4 WHEN 0 THEN 'AnyAddress' WHEN 1 THEN 'AddressVariable' WHEN 2 THEN 'IPAddress' ELSE 'IPCIDRRange' END,
-  'AnyPort', CASE WHEN id % 2 = 0 THEN 'AnyAddress' ELSE 'AddressVariable' END, CASE WHEN id % 3 = 1 THEN 'PortRange' ELSE 'Port' END], CASE WHEN id % 4 = 3 THEN ['IPAddress'] ELSE [] END, CASE WHEN id % 3 = 2 THEN ['Port'] ELSE [] END)) AS node_type FROM r) GROUP BY ALL""")
-QUERIES["sel_universal"] = lambda spark, d: query(rules_from_events(spark, d), "*").where("option is null").groupBy("id", "node_type").agg(F.count(F.lit(1)).alias("n"))
+_selector("sel_universal", "*", f"""SELECT id, node_type, count(*) AS n FROM (SELECT id, unnest(list_concat(['Rule', 'Header', CASE id % 4 WHEN 0 THEN 'AnyAddress' WHEN 1 THEN 'AddressVariable' WHEN 2 THEN 'IPAddress' ELSE 'IPCIDRRange' END,
+  'AnyPort', CASE WHEN id % 2 = 0 THEN 'AnyAddress' ELSE 'AddressVariable' END, CASE WHEN id % 3 = 1 THEN 'PortRange' ELSE 'Port' END], CASE WHEN id % 4 = 3 THEN ['IPAddress'] ELSE [] END, CASE WHEN id % 3 = 2 THEN ['Port'] ELSE [] END, {_KINDS})) AS node_type FROM r) GROUP BY ALL""")
+QUERIES["sel_universal"] = lambda spark, d: query(rules_from_events(spark, d), "*").groupBy("id", "node_type").agg(F.count(F.lit(1)).alias("n"))
 _selector("sel_attr_eq", 'ClasstypeOption[value="c2"]', "SELECT id FROM r WHERE id % 4 = 2")
 _selector("sel_attr_ne", 'Rule[action!="alert"]', "SELECT id FROM r WHERE action <> 'alert'")
 _selector("sel_attr_exists", "FlowOption[states]", "SELECT id FROM r WHERE id % 2 = 0")
@@ -132,7 +134,7 @@ _selector("sel_first_child", "Rule > :first-child", "SELECT id, 'Header' AS node
 
 @register("query_first", "SELECT id, 'GET /' || id AS pattern FROM r")
 def _query_first(spark, d):
-    return query_first(rules_from_events(spark, d), "ContentOption").select("id", "attrs['pattern'] AS pattern")
+    return query_first(rules_from_events(spark, d), "ContentOption").selectExpr("id", "attrs['pattern'] AS pattern")
 
 
 @register("query_exists", "SELECT action, count(*) AS n FROM r WHERE id % 7 = 0 GROUP BY 1")
@@ -203,9 +205,7 @@ def coverage_gaps(spark, d):
     return A.gaps(rules_from_events(spark, d))
 
 
-@register("option_usage", """SELECT node_type, count(*) AS cnt FROM (SELECT unnest(list_filter([CASE WHEN id % 11 <> 0 THEN 'MsgOption' END, CASE WHEN id % 2 = 0 THEN 'FlowOption' END, 'ContentOption', CASE WHEN id % 3 = 0 THEN 'NocaseOption' END,
-  CASE WHEN id % 4 = 0 THEN 'DepthOption' END, CASE WHEN id % 5 = 0 THEN 'ContentOption' END, CASE WHEN id % 7 = 0 THEN 'PcreOption' END, CASE WHEN id % 20 in (1, 2) THEN 'FlowbitsOption' END,
-  'ClasstypeOption', 'PriorityOption', 'ReferenceOption', 'MetadataOption', CASE WHEN id % 13 <> 0 THEN 'SidOption' END, 'RevOption'], lambda x: x IS NOT NULL)) AS node_type FROM r) GROUP BY 1""")
+@register("option_usage", f"""SELECT node_type, count(*) AS cnt FROM (SELECT unnest({_KINDS}) AS node_type FROM r) GROUP BY 1""")
 def option_usage(spark, d):
     return A.option_usage(rules_from_events(spark, d))
 
@@ -227,12 +227,20 @@ def cost_total(spark, d):
     return rules_from_events(spark, d).select("id", F.round(rule_cost(), 6).alias("cost"))
 
 
-@register("cost_breakdown", f"SELECT 'ContentOption' AS node_type, round(sum({_CONTENT} + CASE WHEN id % 5 = 0 THEN 13 ELSE 0 END), 3)::DOUBLE AS cost FROM r UNION ALL SELECT 'PcreOption', round(182.0 * sum((id % 7 = 0)::INT), 3)::DOUBLE FROM r UNION ALL SELECT 'FlowOption', sum((id % 2 = 0)::INT)::DOUBLE FROM r")
+_SINGLE = "CASE node_type WHEN 'ContentOption' THEN 0 WHEN 'PcreOption' THEN 182.0 WHEN 'FlowOption' THEN 1.0 WHEN 'FlowbitsOption' THEN 1.5 WHEN 'DepthOption' THEN 0.5 WHEN 'NocaseOption' THEN 0.2 ELSE 0.1 END"
+
+
+@register("cost_breakdown", f"""SELECT node_type, round(max(cost), 3)::DOUBLE AS cost, sum(cnt)::BIGINT AS cnt FROM (
+  SELECT node_type, sum({_SINGLE}) AS cost, count(*) AS cnt FROM (SELECT unnest({_KINDS}) AS node_type FROM r) GROUP BY 1
+  UNION ALL SELECT 'ContentOption', sum({_CONTENT} + CASE WHEN id % 5 = 0 THEN 13 ELSE 0 END), 0 FROM r) GROUP BY 1""")
 def cost_breakdown(spark, d):
-    return A.cost_breakdown(rules_from_events(spark, d)).where("node_type in ('ContentOption', 'PcreOption', 'FlowOption')").select("node_type", F.round("cost", 3).alias("cost"))
+    return A.cost_breakdown(rules_from_events(spark, d)).select("node_type", F.round("cost", 3).alias("cost"), "cnt")
+
 
+_CHANGES = "CASE WHEN id % 11 <> 0 OR id % 20 in (1, 2) OR id % 3 = 0 AND id % 5 = 0 OR id % 4 = 0 AND id % 5 = 0 THEN 1 ELSE 0 END AS reordered, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS fast"
 
-@register("opt_strategies", "SELECT id, CASE WHEN id % 11 <> 0 OR id % 20 in (1, 2) OR id % 3 = 0 AND id % 5 = 0 OR id % 4 = 0 AND id % 5 = 0 THEN 1 ELSE 0 END AS reordered, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS fast FROM r")
+
+@register("opt_strategies", f"SELECT id, {_CHANGES} FROM r")
 def opt_strategies(spark, d):
     x = O.optimize(rules_from_events(spark, d))
     return x.select("id", *[F.expr(f"cast(array_contains(strategies, '{s}') as int)").alias(n) for n, s in (("reordered", "OptionReorder"), ("fast", "FastPattern"))])
@@ -240,7 +248,7 @@ def opt_strategies(spark, d):
 
 @register("opt_first_option", "SELECT id, CASE WHEN id % 2 = 0 THEN 'FlowOption' WHEN id % 20 = 1 THEN 'FlowbitsOption' ELSE 'ContentOption' END AS first FROM r")
 def opt_first_option(spark, d):
-    return O.optimize(rules_from_events(spark, d)).select("id", "optimized[0].node_type AS first")
+    return O.optimize(rules_from_events(spark, d)).selectExpr("id", "optimized[0].node_type AS first")
 
 
 @register("opt_redundancy", "SELECT id, 1::BIGINT AS removed FROM r")
@@ -250,9 +258,14 @@ def opt_redundancy(spark, d):
     return O.optimize(rules).select("id", (F.size("options") - F.size("optimized")).cast("long").alias("removed"))
 
 
-@register("opt_stats", None)
+#: With a second content, the longer first one gets fast_pattern and costs 0.7 of what it did.
+@register("opt_stats", f"""SELECT count(*) AS total, sum((reordered + fast > 0)::INT)::BIGINT AS modified, round(100.0 * sum((reordered + fast > 0)::INT) / count(*), 6)::DOUBLE AS rate_pct,
+  round(avg(gain) FILTER (WHERE fast = 1), 6)::DOUBLE AS avg_improvement, round(max(gain) FILTER (WHERE fast = 1), 6)::DOUBLE AS max_improvement, sum(reordered + fast)::BIGINT AS optimizations,
+  sum(reordered)::BIGINT AS reorders, sum(fast)::BIGINT AS fast_patterns, 0::BIGINT AS removals
+  FROM (SELECT {_CHANGES}, 100.0 * 0.3 * {_CONTENT} / ({_COST}) AS gain FROM r)""")
 def opt_stats(spark, d):
-    return O.optimizer_statistics(O.optimize(rules_from_events(spark, d)))
+    rounded = {c: F.round(c, 6) for c in ("rate_pct", "avg_improvement", "max_improvement")}
+    return O.optimizer_statistics(O.optimize(rules_from_events(spark, d))).withColumns(rounded)
 
 
 _TEXT = """action || ' ' || protocol || ' ' || CASE id % 4 WHEN 0 THEN 'any' WHEN 1 THEN '$HOME_NET' WHEN 2 THEN '10.0.' || id % 256 || '.1' ELSE '[10.' || id % 200 || '.0.0/16, !10.' || id % 200 || '.0.5]' END || ' any ' || direction || ' ' ||
@@ -273,50 +286,65 @@ def print_roundtrip(spark, d):
     return parse(once).where("ok").agg(F.count(F.lit(1)).alias("rules"), F.count_if(rule_text() == F.col("text")).alias("equal"))
 
 
-@register("json_roundtrip", "SELECT count(*) AS rules, count(sid) AS sids, count(DISTINCT id % 1000) AS kinds FROM r")
+@register("json_roundtrip", f"""SELECT id, action, protocol, sid, msg, len({_KINDS})::BIGINT AS options, 'GET /' || id || CASE WHEN id % 5 = 0 THEN '|abc' ELSE '' END AS patterns,
+  true AS equal FROM r""")
 def json_roundtrip(spark, d):
     from ..sources.readers import from_json
     from ..sources.writers import to_json
 
     rules = rules_from_events(spark, d)
-    back = from_json(rules.select(to_json(rules).alias("j")), "j", rules)
-    return back.agg(F.count(F.lit(1)).alias("rules"), F.count("sid").alias("sids"), F.countDistinct(F.col("id") % 1000).alias("kinds"))
+    back = from_json(rules.select(to_json(rules).alias("j"), F.struct("*").alias("was")), "j", rules, keep=("was",))
+    patterns = F.expr("array_join(transform(filter(options, o -> o.pattern is not null), o -> cast(o.pattern as string)), '|')")
+    same = F.to_json("was") == F.to_json(F.struct(*rules.columns))
+    return back.select("id", "action", "protocol", "sid", "msg", F.size("options").cast("long").alias("options"), patterns.alias("patterns"), same.alias("equal"))
 
 
-_C = M.coefficients(4)
+_C = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(M.coefficients()))
 _FEATURES = """list_distinct(list_filter(['protocol:' || protocol, 'direction:' || direction, 'dst_port:' || CASE id % 3 WHEN 0 THEN port::VARCHAR WHEN 1 THEN lo || ':' || lo + 20 ELSE '[80,443]' END,
   CASE id % 4 WHEN 1 THEN 'src_addr:$HOME_NET' WHEN 2 THEN 'src_addr:10.0.' || id % 256 || '.1' WHEN 3 THEN 'src_addr:[10.' || id % 200 || '.0.0/16,!10.' || id % 200 || '.0.5]' END, CASE WHEN id % 2 = 1 THEN 'dst_addr:$EXTERNAL_NET' END,
   CASE WHEN id % 2 = 0 THEN 'option:FlowOption' END, 'option:ContentOption', 'content:get /' || id, CASE WHEN id % 3 = 0 THEN 'option:NocaseOption' END, CASE WHEN id % 4 = 0 THEN 'option:DepthOption' END, CASE WHEN id % 4 = 0 THEN 'value:' || id % 50 + 1 END,
   CASE WHEN id % 5 = 0 THEN 'content:abc' END, CASE WHEN id % 7 = 0 THEN 'option:PcreOption' END, CASE WHEN id % 7 = 0 THEN 'pcre:a.*b' END, CASE WHEN id % 20 in (1, 2) THEN 'option:FlowbitsOption' END], lambda x: x IS NOT NULL))"""
 
 
-@register("minhash_sig", f"""SELECT id, {', '.join(f'min((h * {a} + {b}) % {M.P})::BIGINT AS s{i}' for i, (a, b) in enumerate(_C))} FROM (
-  SELECT id, ('0x' || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2))::UBIGINT::HUGEINT AS h FROM (SELECT id, sha256(unnest({_FEATURES})) AS s FROM r)) GROUP BY id""")
+#: Signatures of 128 places, classes of equal ones under their smallest id, and the bands of those
+_SIGS = f""", c(i, a, b) AS (VALUES {_C}),
+f AS (SELECT id, ('0x' || substr(s, 7, 2) || substr(s, 5, 2) || substr(s, 3, 2) || substr(s, 1, 2))::UBIGINT::HUGEINT AS h FROM (SELECT id, sha256(unnest({_FEATURES})) AS s FROM r)),
+m AS (SELECT id, i, min((h * a + b) % {M.P})::BIGINT AS v FROM f, c GROUP BY id, i), sigs AS (SELECT id, list(v ORDER BY i) AS sig FROM m GROUP BY id)"""
+_BANDED = f"""{_SIGS}, classes AS (SELECT sig, min(id) AS rep FROM sigs GROUP BY sig), members AS (SELECT id, rep FROM sigs JOIN classes USING (sig)),
+banded AS (SELECT rep, b, sig[b * {M.ROWS} + 1:(b + 1) * {M.ROWS}] AS band FROM classes, range(0, {M.BANDS}) t(b)),
+pairs AS (SELECT DISTINCT x.rep AS id_a, y.rep AS id_b FROM banded x JOIN banded y ON x.b = y.b AND x.band = y.band AND x.rep < y.rep)"""
+
+
+@register("minhash_sig", f"{_SIGS} SELECT id, array_to_string(sig, ',') AS sig FROM sigs")
 def minhash_sig(spark, d):
+    """All 128 places."""
     rules = rules_from_events(spark, d).select("id", M.features().alias("f"))
-    return M.signatures(rules, "id", "f").select("id", *[F.expr(f"sig[{i}]").alias(f"s{i}") for i in range(4)])
+    return M.signatures(rules, "id", "f").select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
 def _sigs(spark: SparkSession, d: str) -> DataFrame:
     return M.signatures(rules_from_events(spark, d).select("id", M.features().alias("f")), "id", "f")
 
 
-@register("lsh_candidates", None)
+@register("lsh_candidates", f"""{_BANDED}, buckets AS (SELECT b, band, count(*) AS n FROM banded GROUP BY ALL)
+  SELECT id, rep, coalesce(shared_bands, 0)::BIGINT AS shared_bands, coalesce(band_partners, 0)::BIGINT AS band_partners FROM members LEFT JOIN (
+    SELECT rep, count(*) AS shared_bands, sum(n - 1) AS band_partners FROM banded JOIN buckets USING (b, band) WHERE n > 1 GROUP BY rep) USING (rep)""")
 def lsh_candidates(spark, d):
-    """Candidate pairs of representatives, and each representative with the rules of its own signature."""
-    sigs = _sigs(spark, d)
-    pairs = M.candidates(sigs).withColumn("similarity", F.lit(None).cast("double"))
-    return M.with_members(pairs, M.membership(sigs)).select("id_a", "id_b")
+    """Every rule with its representative, in how many bands that meets others, and how many they are, band by band."""
+    return M.bucket_members(_sigs(spark, d))
 
 
-@register("similarity_pairs", None)
+@register("similarity_pairs", f"""{_BANDED}
+  SELECT id_a, id_b, list_sum(list_transform(range(1, {M.PERMUTATIONS + 1}), lambda i: (x.sig[i] = y.sig[i])::INT)) / {float(M.PERMUTATIONS)} AS similarity
+  FROM pairs JOIN classes x ON x.rep = id_a JOIN classes y ON y.rep = id_b WHERE similarity >= {M.THRESHOLD} UNION ALL SELECT rep, id, 1.0::DOUBLE FROM members WHERE id <> rep""")
 def similarity_pairs(spark, d):
     """Pairs of representatives by the estimate, and each representative with the rules of its own signature."""
     sigs = _sigs(spark, d)
     return M.with_members(M.similar_pairs(sigs), M.membership(sigs))
 
 
-@register("lsh_stats", None)
+@register("lsh_stats", f"""{_SIGS}, sizes AS (SELECT count(*) AS n FROM (SELECT b, sig[b * {M.ROWS} + 1:(b + 1) * {M.ROWS}] AS band FROM sigs, range(0, {M.BANDS}) t(b)) GROUP BY b, band)
+  SELECT count(*) AS buckets, coalesce(avg(n), 0.0) AS avg_size, coalesce(max(n), 0) AS max_size FROM sizes""")
 def lsh_stats(spark, d):
     return M.lsh_statistics(_sigs(spark, d))
 
@@ -331,29 +359,31 @@ def flowbits_missing(spark, d):
     return A.flowbits_without_setter(rules_from_events(spark, d))
 
 
-@register("conflicting_action", "SELECT rules, count(*) AS n FROM (SELECT count(*) AS rules FROM (SELECT id, ['alert', 'drop', 'log'][x] AS action, x FROM r, (SELECT unnest([1, 2]) AS x) WHERE id % 3 = 0) GROUP BY id) GROUP BY 1")
-def conflicting_action(spark, d):
-    rules = rules_from_events(spark, d).where("id % 3 = 0")  # every third rule twice: with alert and with drop
-    both = rules.withColumn("action", F.explode(F.array(F.lit("alert"), F.lit("drop"))))
-    return A.conflicting_actions(both).groupBy("rules").agg(F.count(F.lit(1)).alias("n"))
+_RAWS = """list_sort(list_filter([CASE WHEN id % 2 = 0 THEN 'flow:established,to_server' END, 'content:"GET|20|/' || id || '"', CASE WHEN id % 3 = 0 THEN 'nocase' END, CASE WHEN id % 4 = 0 THEN 'depth:' || id % 50 + 1 END,
+  CASE WHEN id % 5 = 0 THEN 'content:"abc"' END, CASE WHEN id % 7 = 0 THEN 'pcre:"/a.*b/i"' END, CASE WHEN id % 20 = 1 THEN 'flowbits:set,f' || id % 50 WHEN id % 20 = 2 THEN 'flowbits:isset,f' || id % 60 END], lambda x: x IS NOT NULL))"""
+_SIDES = """CASE id % 4 WHEN 0 THEN 'any' WHEN 1 THEN '$HOME_NET' WHEN 2 THEN '10.0.' || id % 256 || '.1' ELSE '[10.' || id % 200 || '.0.0/16, !10.' || id % 200 || '.0.5]' END, 'any', direction,
+  CASE WHEN id % 2 = 0 THEN 'any' ELSE '$EXTERNAL_NET' END, CASE id % 3 WHEN 0 THEN port::VARCHAR WHEN 1 THEN lo || ':' || lo + 20 ELSE '[80, 443]' END"""
 
 
-@register("conflicting_signatures", None)
-def conflicting_signatures(spark, d):
-    """Every rule once with alert and once with drop: one row a signature, with its rules. A hash over the rule's text has no SQL."""
+@register("conflicting_action", f"SELECT sha256(concat_ws('|', protocol, {_SIDES}, array_to_string({_RAWS}, ';'))) AS signature, 2 * count(*) AS rules FROM r GROUP BY 1")
+def conflicting_action(spark, d):
+    """Every rule once with alert and once with drop: one row a conflicting signature, with its rules."""
     both = rules_from_events(spark, d).withColumn("action", F.explode(F.array(F.lit("alert"), F.lit("drop"))))
     return A.conflicting_actions(both)
 
 
-@register("shadowing", """, s AS (SELECT id, protocol, direction, port FROM r WHERE id % 3 = 0 UNION ALL SELECT id, protocol, direction, unnest([80, 443]) FROM r WHERE id % 3 = 2)
-  SELECT DISTINCT g.id AS general, s.id AS specific FROM r g JOIN s ON g.protocol = s.protocol AND g.direction = s.direction AND s.port BETWEEN g.lo AND g.lo + 20 WHERE g.id % 3 = 1 AND g.id % 7 = 0 AND s.id % 7 = 0""")
+_SHADOWS = """, s AS (SELECT id, protocol, direction, port FROM r WHERE id % 3 = 0 UNION ALL SELECT id, protocol, direction, unnest([80, 443]) FROM r WHERE id % 3 = 2),
+  shadows AS (SELECT DISTINCT g.id AS general, s.id AS specific FROM r g JOIN s ON g.protocol = s.protocol AND g.direction = s.direction AND s.port BETWEEN g.lo AND g.lo + 20 WHERE g.id % 3 = 1)"""
+
+
+@register("shadowing", f"{_SHADOWS} SELECT general, specific FROM shadows")
 def shadowing(spark, d):
-    return A.shadowed_ports(rules_from_events(spark, d).where("exists(options, o -> o.node_type = 'PcreOption')"), id_column="id")
+    return A.shadowed_ports(rules_from_events(spark, d), id_column="id")
 
 
-@register("shadowed_rules", None)
+@register("shadowed_rules", f"{_SHADOWS} SELECT general, count(*) AS rules, min(specific) AS first_specific FROM shadows GROUP BY 1")
 def shadowed_rules(spark, d):
-    """Each rule whose port range holds single ports of other rules, with their number and least id. Too many pairs for SQL."""
+    """Each rule whose port range holds single ports of other rules, with their number and least id."""
     pairs = A.shadowed_ports(rules_from_events(spark, d), id_column="id")
     return pairs.groupBy("general").agg(F.count(F.lit(1)).alias("rules"), F.min("specific").alias("first_specific"))
 
@@ -364,9 +394,35 @@ def security_score(spark, d):
     return A.security_score(rules_from_events(spark, d)).select("id", "score", "complexity")
 
 
-@register("doc_near_duplicates", None)
+@register("doc_near_duplicates", """, w AS (SELECT doc_id, string_split_regex(lower(text), '\\s+') AS w FROM documents WHERE text IS NOT NULL),
+f AS (SELECT doc_id, CASE WHEN len(w) > 4 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) ELSE [array_to_string(w, ' ')] END AS f FROM w),
+k AS (SELECT min(doc_id) AS rep, list(doc_id) AS ids, list_sort(f) AS f FROM f GROUP BY list_sort(f)), x AS (SELECT rep, len(f) AS n, unnest(f) AS s FROM k),
+p AS (SELECT a.rep AS id_a, b.rep AS id_b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM x a JOIN x b ON a.s = b.s AND a.rep < b.rep GROUP BY ALL)
+SELECT id_a, id_b, c / (na + nb - c) AS similarity FROM p WHERE c / (na + nb - c) >= 0.8 UNION ALL SELECT rep, id, 1.0 FROM (SELECT rep, unnest(ids) AS id FROM k) WHERE id <> rep""")
 def doc_near_duplicates(spark, d):
     """Pairs of documents by their sets of five-word shingles, lower case, found by LSH and confirmed on the full sets; copies included."""
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", F.split(F.lower("text"), r"\s+").alias("w")).repartition(spark.sparkContext.defaultParallelism)
     shingles = F.expr("array_distinct(if(size(w) > 4, transform(sequence(0, size(w) - 5), i -> array_join(slice(w, i + 1, 5), ' ')), array(array_join(w, ' '))))")
     return M.confirmed_pairs(docs.select("doc_id", shingles.alias("f")), "doc_id", "f")
+
+
+@register("parse_long", "SELECT id, 1201 + id % 50 AS msg_length, 300 + id % 7 AS addresses, 152 + id % 5 AS options FROM e")
+def parse_long(spark, d):
+    """Rules of some six thousand characters: a long message, a list of 300 addresses and 150 options."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"))
+    text = F.expr(
+        """concat('alert tcp [', array_join(transform(sequence(1, 300 + id % 7), i -> concat('10.0.', i % 256, '.1')), ','), '] any -> any any (msg:"a', repeat('x', cast(1200 + id % 50 as int)), '"; ',
+           array_join(transform(sequence(1, 150 + id % 5), i -> concat('content:"c', i, '";')), ' '), ' sid:', id + 1, ';)')"""
+    )
+    rules = parse(e.repartition(spark.sparkContext.defaultParallelism).withColumn("text", text)).where("ok")
+    return rules.select("id", F.length("msg").cast("long").alias("msg_length"), F.size("src_addr.atoms").cast("long").alias("addresses"), F.size("options").cast("long").alias("options"))
+
+
+@register("parse_comma", "SELECT id, msg, id + 1 AS sid, 5::BIGINT AS options, 'GET /' || id AS pattern, 5 AS depth FROM (SELECT id, event_type || ', a:b' AS msg FROM e)")
+def parse_comma(spark, d):
+    """Options parted by commas, with commas in a message, between inline modifiers and in metadata."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), "event_type")
+    text = F.expr("""concat('alert tcp any any -> any any (msg:"', event_type, ', a:b", content:"GET /', id, '",depth 5,nocase, metadata:k v, x y, sid:', id + 1, ', rev:1)')""")
+    rules = parse(e.repartition(spark.sparkContext.defaultParallelism).withColumn("text", text)).where("ok")
+    one = lambda t, f: F.expr(f"filter(options, o -> o.node_type = '{t}')[0].{f}")
+    return rules.select("id", "msg", "sid", F.size("options").cast("long").alias("options"), one("ContentOption", "pattern").cast("string").alias("pattern"), one("ContentOption", "modifiers[0].int_value").alias("depth"))

@@ -26,6 +26,11 @@ OPTION_TYPES = {
     "luajit": "LuajitOption", "depth": "DepthOption", "offset": "OffsetOption", "distance": "DistanceOption", "within": "WithinOption",
     "nocase": "NocaseOption", "rawbytes": "RawbytesOption", "startswith": "StartswithOption", "endswith": "EndswithOption",
 }
+#: Keywords kept as generic options; like those of OPTION_TYPES, they end the option before a comma.
+GENERIC_KEYWORDS = (
+    "flowint", "threshold", "detection_filter", "byte_test", "byte_jump", "byte_extract", "byte_math", "isdataat", "urilen", "tag", "flags", "dsize", "itype", "icode",
+    "ttl", "window", "ipopts", "fragbits", "target",
+)
 METADATA_TYPES = ("GidOption", "SidOption", "RevOption", "MsgOption", "ClasstypeOption", "PriorityOption", "ReferenceOption", "MetadataOption")
 #: Cost of an option by node type; types not listed cost DEFAULT_COST.
 BASE_COSTS = {

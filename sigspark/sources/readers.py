@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..functions.lineage import cut
 from ..operators.parse import parse
 
 ACTION_START = r"^(?:" + "|".join(S.ACTIONS) + r")\b"
@@ -67,8 +68,8 @@ def batches(rules: DataFrame, order: str, size: int = 1000, partition: str | Non
 
     Row numbers come from per-partition counts after a range partitioning: no task sees all rows.
     """
-    parts = rules.select(order, "ok").repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
-    parts = parts.withColumn("_p", F.shiftright("_id", 33)).checkpoint() if rules.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else parts.withColumn("_p", F.shiftright("_id", 33))
+    numbered = rules.select(order, "ok").repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id())
+    parts = cut(numbered.withColumn("_p", F.shiftright("_id", 33)))  # read twice: the numbers must be the same
     before = parts.groupBy("_p").count().withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     rows = parts.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("_row", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1))
     return rows.groupBy(F.expr(f"_row div {size}").alias("batch_number")).agg(
@@ -76,6 +77,6 @@ def batches(rules: DataFrame, order: str, size: int = 1000, partition: str | Non
     )
 
 
-def from_json(df: DataFrame, column: str, like: DataFrame) -> DataFrame:
-    """Rules of lossless JSON texts, in the schema of ``like``."""
-    return df.select(F.from_json(column, like.schema).alias("r")).select("r.*")
+def from_json(df: DataFrame, column: str, like: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
+    """Rules of lossless JSON texts, in the schema of ``like``, with the columns of df to keep."""
+    return df.select(F.from_json(column, like.schema).alias("_r"), *keep).select("_r.*", *keep)
