@@ -19,9 +19,26 @@ OPTION_ATTRS = {
 LEAF_ATTRS = {"address": ("value", "version", "network", "prefix_len", "start", "end", "name"), "port": ("value", "start", "end", "name")}
 
 
-def _map(pairs: dict[str, str]) -> str:
-    entries = ", ".join(f"struct('{k}' as key, {v} as value)" for k, v in pairs.items())
-    return f"map_from_entries(filter(array({entries}), e -> e.value is not null))"
+Names = frozenset | None
+
+
+def _map(pairs: dict[str, str], names: Names = None) -> str:
+    """SQL for a map of those of the pairs that have a value; only the names that are asked for."""
+    entries = ", ".join(f"struct('{k}' as key, {v} as value)" for k, v in pairs.items() if names is None or k in names)
+    return f"map_from_entries(filter(array({entries}), e -> e.value is not null))" if entries else "cast(map() as map<string, string>)"
+
+
+def rule_attrs(names: Names = None) -> str:
+    return _map({"action": "action", "dialect": "dialect", "raw_text": "raw_text", "node_type": "'Rule'"}, names)
+
+
+def header_attrs(names: Names = None) -> str:
+    sides = {c: f"if(size({c}.atoms) = 1 and {c}.kind = 'single', coalesce(cast({c}.atoms[0].value as string), {c}.text), {c}.text)" for c in ("src_addr", "src_port", "dst_addr", "dst_port")}
+    return _map({"protocol": "protocol", "direction": "direction", "node_type": "'Header'"} | sides, names)
+
+
+def option_attrs(names: Names = None) -> str:
+    return _map(OPTION_ATTRS, names)
 
 
 def _leaves(column: str, kind: str) -> str:
@@ -30,16 +47,15 @@ def _leaves(column: str, kind: str) -> str:
     return f"transform({column}.atoms, a -> named_struct('node_type', a.node_type, 'attrs', {_map(pairs)}, 'key', {key}, 'ordinal', cast(null as int), 'kids', false))"
 
 
-def with_nodes(rules: DataFrame) -> DataFrame:
-    """Adds nodes: array of (pos, parent, sib, first_equal, last_sib, node_type, attrs, key, ordinal, has_children)."""
-    rule = _map({"action": "action", "dialect": "dialect", "raw_text": "raw_text", "node_type": "'Rule'"})
-    header = _map(
-        {"protocol": "protocol", "direction": "direction", "node_type": "'Header'"} | {c: f"if(size({c}.atoms) = 1 and {c}.kind = 'single', coalesce(cast({c}.atoms[0].value as string), {c}.text), {c}.text)" for c in ("src_addr", "src_port", "dst_addr", "dst_port")}
-    )
-    option = f"named_struct('node_type', o.node_type, 'attrs', {_map(OPTION_ATTRS)}, 'key', concat(o.node_type, '|', o.raw), 'ordinal', o.ordinal, 'kids', coalesce(size(o.modifiers), 0) + coalesce(size(o.entries), 0) + coalesce(size(o.states), 0) + coalesce(size(o.directions), 0) > 0)"
+def with_nodes(rules: DataFrame, names: Names = None) -> DataFrame:
+    """Adds nodes: array of (pos, parent, sib, first_equal, last_sib, node_type, attrs, key, ordinal, has_children).
+
+    names: the attributes that attrs must hold for Rule, Header and options (all, if not given).
+    """
+    option = f"named_struct('node_type', o.node_type, 'attrs', {option_attrs(names)}, 'key', concat(o.node_type, '|', o.raw), 'ordinal', o.ordinal, 'kids', coalesce(size(o.modifiers), 0) + coalesce(size(o.entries), 0) + coalesce(size(o.states), 0) + coalesce(size(o.directions), 0) > 0)"
     leaves = ", ".join(_leaves(c, "port" if c.endswith("port") else "address") for c in ("src_addr", "src_port", "dst_addr", "dst_port"))
     rows = let(rules, _leaf=F.expr(f"concat({leaves})"), _opt=F.expr(f"transform(options, o -> {option})"))
-    top = f"array(named_struct('node_type', 'Rule', 'attrs', {rule}, 'key', 'Rule', 'ordinal', cast(null as int), 'kids', true), named_struct('node_type', 'Header', 'attrs', {header}, 'key', 'Header', 'ordinal', cast(null as int), 'kids', true))"
+    top = f"array(named_struct('node_type', 'Rule', 'attrs', {rule_attrs(names)}, 'key', 'Rule', 'ordinal', cast(null as int), 'kids', true), named_struct('node_type', 'Header', 'attrs', {header_attrs(names)}, 'key', 'Header', 'ordinal', cast(null as int), 'kids', true))"
     rows = let(rows, _all=F.expr(f"concat({top}, _leaf, _opt)"), _nl=F.size("_leaf"), _okeys=F.expr("_opt.key"), _lkeys=F.expr("_leaf.key"))
     made = F.expr(
         """transform(_all, (n, i) -> named_struct('pos', i, 'parent', CASE WHEN i = 0 THEN -1 WHEN i = 1 THEN 0 WHEN i < 2 + _nl THEN 1 ELSE 0 END,

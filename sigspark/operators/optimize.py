@@ -55,14 +55,15 @@ def optimize(rules: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Rounds are unrolled; each step is bound once, so the plan grows in proportion to the rounds.
     """
     _FIELDS[:] = [f.name for f in rules.schema["options"].dataType.elementType.fields]
-    raws = lambda c: F.expr(f"transform({c}, o -> concat(o.raw, coalesce(array_join(o.modifiers.name, ','), '')))")
-    rows = let(rules, optimized=F.col("options"), strategies=F.array().cast("array<string>"))
+    rows = let(rules, optimized=F.col("options"), strategies=F.array().cast("array<string>"), _live=F.lit(True))
     for _ in range(rounds):
+        rows = rows.withColumn("_was", F.size("strategies"))
         for name, step in (("OptionReorder", reorder), ("FastPattern", fast_pattern), ("RedundancyRemoval", drop_redundant)):
-            rows = let(rows, _next=F.expr(step("optimized")))
-            changed = raws("_next") != raws("optimized")
-            rows = let(rows, _s=F.when(changed, F.array_append("strategies", F.lit(name))).otherwise(F.col("strategies"))).drop("strategies", "optimized")
-            rows = rows.withColumnsRenamed({"_s": "strategies", "_next": "optimized"})
+            rows = let(rows, _next=F.when(F.col("_live"), F.expr(step("optimized"))).otherwise(F.col("optimized")))
+            named = F.when(F.col("_live") & (F.col("_next") != F.col("optimized")), F.array_append("strategies", F.lit(name))).otherwise(F.col("strategies"))
+            rows = rows.withColumn("strategies", named).drop("optimized").withColumnRenamed("_next", "optimized")
+        rows = let(rows.drop("_live"), _live=F.size("strategies") > F.col("_was")).drop("_was")  # a round without a change is the last
+    rows = rows.drop("_live")
     rows = let(rows, cost_before=rule_cost("options"), cost_after=rule_cost("optimized"), penalty_before=position_penalty("options"), penalty_after=position_penalty("optimized"))
     gain = F.when(F.col("cost_before") > 0, F.round((F.col("cost_before") - F.col("cost_after")) / F.col("cost_before") * 100, 9)).otherwise(0.0)  # sums in another order differ in their last digits
     return rows.withColumns({"improvement": gain, "modified": F.size("strategies") > 0})

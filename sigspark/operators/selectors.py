@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import let, quoted
 from ..schema import InvalidSelectorError, QueryExecutionError, QuerySyntaxError
-from .nodes import with_nodes
+from .nodes import header_attrs, option_attrs, rule_attrs, with_nodes
 
 OPERATORS = ("=", "!=", ">=", "<=", ">", "<", "*=", "^=", "$=")
 PSEUDO = ("first", "first-child", "last", "last-child", "empty", "not-empty", "has", "not", "even", "odd", "nth", "within")
@@ -273,11 +273,26 @@ def _needed(selector: str) -> str | None:
     return f"exists(options, o -> o.node_type in ({', '.join(quoted(t) for t in types)}))"
 
 
+def _names(chains: list[Chain]) -> frozenset:
+    """The attributes that a selector tests."""
+    out = set()
+    for part in (p for c in chains for p in c.parts):
+        out |= {name for name, _, _ in part.attrs}
+        for _, inner in part.pseudos:
+            out |= _names(inner or [])
+    return frozenset(out)
+
+
+#: All attributes of a matching node n, for those that come out
+_ALL_ATTRS = f"""CASE WHEN n.ordinal is not null THEN transform(array(options[n.ordinal]), o -> {option_attrs()})[0]
+  WHEN n.pos = 0 THEN {rule_attrs()} WHEN n.pos = 1 THEN {header_attrs()} ELSE n.attrs END"""
+
+
 def _matched(rules: DataFrame, selector: str) -> DataFrame:
     needed = _needed(selector)
     rows = rules.where(needed) if needed else rules
     try:
-        return let(with_nodes(rows), _found=F.expr(compile_selector(selector)))
+        return let(with_nodes(rows, _names(parse_selector(selector))), _found=F.expr(compile_selector(selector)))
     except (QuerySyntaxError, InvalidSelectorError):
         raise
     except Exception as e:  # what Catalyst refuses
@@ -287,14 +302,15 @@ def _matched(rules: DataFrame, selector: str) -> DataFrame:
 def query(rules: DataFrame, selector: str) -> DataFrame:
     """One row a matching node: the rule's columns, rank (place in the result), pos, node_type, attrs and the option or null."""
     rows = _matched(rules, selector)
-    out = rows.select(*[F.col(c) for c in rules.columns], F.posexplode("_found").alias("rank", "_n"))
-    return out.select(*rules.columns, "rank", "_n.pos", "_n.node_type", "_n.attrs", F.get("options", F.col("_n.ordinal")).alias("option"))
+    out = rows.select(*[F.col(c) for c in rules.columns], F.posexplode("_found").alias("rank", "n"))
+    return out.select(*rules.columns, "rank", "n.pos", "n.node_type", F.expr(_ALL_ATTRS).alias("attrs"), F.get("options", F.col("n.ordinal")).alias("option"))
 
 
 def query_first(rules: DataFrame, selector: str) -> DataFrame:
     """The first match of each rule that has one."""
     rows = _matched(rules, selector).where("size(_found) > 0")
-    return rows.select(*rules.columns, F.expr("_found[0].pos").alias("pos"), F.expr("_found[0].node_type").alias("node_type"), F.expr("_found[0].attrs").alias("attrs"))
+    rows = let(rows.select(*rules.columns, F.expr("_found[0]").alias("n")), attrs=F.expr(_ALL_ATTRS))
+    return rows.select(*rules.columns, "n.pos", "n.node_type", "attrs")
 
 
 def query_exists(rules: DataFrame, selector: str) -> DataFrame:
