@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
 import types
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, shared_dir
+
+__all__ = [
+    "TwoAges", "bounded_batches", "connected_components", "cut", "drop_documents", "give_back", "join_checked", "join_hot", "let", "session", "shared_dir", "small", "unused", "worker_cache",
+]
+
 #: Largest number of narrow rows (a few longs each) that a join may broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Largest number of bytes of strings that a join may broadcast.
@@ -23,34 +28,20 @@ def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share (spark.checkpoint.dir); an own one only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(found)
-        return found
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return known.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Computes df once, into the shared folder; later uses read that, also after an executor is lost."""
-    shared_dir(session(df))
-    return df.checkpoint(eager=True)
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches bounded by bytes as well as rows, so that long texts cannot fill a worker."""
-    for key, value in (
-        ("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"),
-        ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20)),
-    ):
-        if spark.conf.get(key, None) != value:
-            spark.conf.set(key, value)
+    """Arrow batches bounded by bytes as well as rows, so that long texts cannot fill a worker; smaller bounds of the session stay."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)):
+        found = spark.conf.get(key, None)
+        if not (found and found.isdigit() and 0 < int(found) <= value):
+            spark.conf.set(key, str(value))
 
 
 def give_back() -> None:
@@ -123,13 +114,29 @@ def join_checked(
     return dealt.join(spread, [*on, "_salt"], how).drop("_salt")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, total: int) -> DataFrame:
+    """Inner join of left with a table that has one row a key and, in ``rows``, how many rows of left hold it (total in all).
+
+    Keys of more than 1,000 rows and of more than a 100,000th of all are met by a broadcast, which no more than
+    100,000 rows of right can reach, so left's rows of a hot key stay where they are; the others are shuffled.
+    """
+    bound = max(1000, total // 100_000)
+    values = [c for c in right.columns if c not in (*on, rows)]
+    hot = right.where(F.col(rows) > bound).select(*on, F.struct(F.lit(True).alias("_"), *values).alias("_hot"))
+    marked = left.join(F.broadcast(hot), on, "left")
+    cold = marked.where("_hot is null").drop("_hot").join(right.where(F.col(rows) <= bound).select(*on, *values), on)
+    return cold.unionByName(marked.where("_hot is not null").select(*left.columns, *[F.col(f"_hot.{c}").alias(c) for c in values]))
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Components of an undirected graph, by alternating large-star and small-star steps.
 
     edges has two columns of one orderable type. Returns (node, component): every node of an edge
     between different nodes, and the smallest node that it reaches. Null ends and loops are left out.
-    Each step is a partial minimum and a join, its output no larger than the edges; every round is
-    written to the shared folder. Labels never come to the driver, which sees a count and a checksum.
+    Each step is a partial minimum and a join, its output no larger than the edges, and the neighbours of
+    a hub are not brought into one task; every round is written to the shared folder. Labels never come
+    to the driver, which sees a count and a checksum. The number of rounds grows with the logarithm of the
+    longest path; without a fixed point after max_rounds, it fails rather than return half a result.
     """
     a, b = edges.columns[:2]
     e = (
@@ -145,16 +152,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         seen = state
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small_star = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = join_hot(both, low, ["u"], "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small_star = join_hot(large, low, ["u"], "n", 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small_star.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+    else:
+        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
 def drop_documents(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the doc_ids of gone (one column, no nulls); docs keeps its partitions when gone is small."""
+    """docs without the doc_ids of gone; docs keeps its partitions when gone is small. A null doc_id names no row, so rows of null doc_id stay."""
     gone = cut(gone.select("doc_id").where("doc_id is not null").distinct())
     return join_checked(docs, gone, ["doc_id"], "left_anti", salt=False)

@@ -2,21 +2,25 @@
 
 1. Every text becomes its set of distinct k-word shingles (A-Z lower-cased; with fewer than k words, the
    whole sequence is one shingle). One pass computes a 128-bit digest of the set, 252 minima of random
-   hashes in 36 bands of 7, and one bit of each of 256 minima. Equal sets collapse into one
-   representative (the smallest doc_id) before anything is joined.
-2. Representatives that share a band are candidates. Bands of at most 32 members are joined; the pairs are
+   hashes in 36 bands of 7, and one bit of each of 256 minima. Rows of one set and one text (by 64 bits of the
+   digest and 64 of the text) are one node; different texts of one set share all bands and are compared like others.
+2. Nodes that share a band are candidates. Bands of at most 32 members are joined; the pairs are
    pruned by comparing the signature in batches of 64 bits: after each batch a pair is dropped when the
    posterior probability (uniform prior) that its similarity reaches the threshold is below ``miss``.
    A larger band only states that its members belong to one cell (a star to its smallest member).
-3. Cells (components of what survived) are cut into blocks of bounded size; each pair of blocks is one task
-   that compares all signatures there, batch by batch, and then the surviving pairs on their full shingle
-   sets, unless links found before connect them already. It returns links that span what is connected, so
-   a group of n copies never becomes n * n rows, and no group meets in one task.
-4. Components over links and digests give every document the smallest doc_id that it can reach.
+3. Cells (components of what survived) of one block are verified in one task: all signatures are compared,
+   batch by batch, and then the surviving pairs on their full shingle sets, unless links found before
+   connect them already. In a cell of more blocks, each member is first verified against one partner (the
+   centre of its star), centres with as many tasks as they need. What that connects best, the cell's main
+   component, need not be compared within itself: only the rest of the cell meets it and each other, every pair
+   of blocks in a task of its own. So a group of n copies never becomes n * n rows, no group meets in
+   one task, and the texts of a large group of alike documents travel once or twice.
+4. Components over links give every document the smallest doc_id that it can reach.
 
 Defined results: a null or wordless text has no shingles and links with nothing; a null doc_id keeps its
-row with a null component; repeated rows belong to one component, of which ``near_dedup`` keeps one row;
-an empty table gives an empty result; extra columns pass through ``near_dedup`` untouched.
+row with a null component; rows of one doc_id and different texts are documents of their own; equal rows
+belong to one component, of which ``near_dedup`` keeps one row (the smallest doc_id, then the smallest hash of
+the text); an empty table gives an empty result; extra columns of any name pass through ``near_dedup`` untouched.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, cut, give_back, join_checked, session
+from .common import bounded_batches, connected_components, cut, give_back, join_checked, join_hot, session, unused
 
 BANDS, ROWS, BITS = 36, 7, 256
 BATCHES = BITS // 64
@@ -113,13 +117,14 @@ def _signatures(k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()),
+                    batch.column("h"),
                     pa.array(sizes),
                     pa.array(d1.view(np.int64)),
                     pa.array(d2.view(np.int64)),
                     pa.ListArray.from_arrays(offsets(BANDS), pa.array(np.ascontiguousarray(keys.T).view(np.int64).ravel())),
                     pa.ListArray.from_arrays(offsets(BATCHES), pa.array(packed.ravel())),
                 ],
-                ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
+                ["doc_id", "h", "n_shingles", "d1", "d2", "bands", "sketch"],
             )
             del sets, mins, rows, keys, known
             give_back()
@@ -217,7 +222,8 @@ def _verifier(k: int, percent: int, least: list[int]):
                 if (cell, bi, bj) != key:
                     links += _verify(rows, k, percent, least) if len(rows) > 1 else []
                     key, rows = (cell, bi, bj), []
-                rows.append((rep, block == bj and bi != bj, n, sketch, text))
+                if not rows or rows[-1][0] != rep:  # rows are sorted by rep; equal rows of the table stand for one
+                    rows.append((rep, block == bj and bi != bj, n, sketch, text))
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
                 links = []
@@ -228,64 +234,109 @@ def _verifier(k: int, percent: int, least: list[int]):
     return run
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of docs; similarity at least percent / 100."""
+def _dealt(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows for the verifier: every member (node, doc, h, tasks: array of (cell, bi, bj, block)) with its text in each of its tasks."""
+    found = join_checked(texts, members.withColumnRenamed("doc", "doc_id"), ["doc_id", "h"], "inner", rows=500_000, salt=False)
+    rows = found.select(F.explode("tasks").alias("t"), F.col("node").alias("rep"), "n_shingles", "sketch", "text")
+    rows = rows.select("t.cell", "t.bi", "t.bj", "t.block", "rep", "n_shingles", "sketch", "text")
+    return rows.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "block", "rep")
+
+
+TASK = "named_struct('cell', {cell}, 'bi', cast({bi} as int), 'bj', cast({bj} as int), 'block', cast({block} as int))"
+
+
+def _first_links(texts: DataFrame, edges: DataFrame, members: DataFrame, verifier) -> DataFrame:
+    """Verified links of the members with one partner each: the smallest that an edge (a, b) names."""
+    known = members.select("node", "doc", "h", "n_shingles", "sketch")
+    partner = edges.join(known.select(F.col("node").alias("a")), "a").groupBy("a").agg(F.min("b").alias("b"))
+    leaves = cut(partner)
+    centres = leaves.groupBy("b").agg(F.expr(f"cast(ceil(count(1) / {BLOCK_DOCS}) as int)").alias("parts"), F.count(F.lit(1)).alias("n"))
+    dealt = join_hot(leaves, centres, ["b"], "n", leaves.count()).withColumn("part", F.expr("cast(pmod(xxhash64(a), parts) as int)"))
+    leaf = dealt.select(F.col("a").alias("node"), F.expr("array(" + TASK.format(cell="b", bi="part", bj=-1, block="part") + ")").alias("tasks"))
+    centre = centres.select(F.col("b").alias("node"), F.expr("transform(sequence(0, parts - 1), p -> " + TASK.format(cell="b", bi="p", bj=-1, block=-1) + ")").alias("tasks"))
+    both = cut(known.join(leaf.unionByName(centre), "node"))
+    return cut(_dealt(texts, both).mapInPandas(verifier, "a long, b long"))
+
+
+def _verified(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
+    """doc_id, h, n_shingles, component_id and keeper (whether the row's text is the one that stays of its component) of every row."""
     spark = session(docs)
     bounded_batches(spark)
     least = least_matches(percent / 100, miss)
-    texts = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
+    verifier = _verifier(k, percent, least)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    schema = "doc_id long, h long, n_shingles long, d1 long, d2 long, bands array<long>, sketch array<long>"
     signed = cut(texts.mapInArrow(_signatures(k), schema))
-    sets = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles")
-    reps = cut(sets.agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("r")).select("d1", "d2", "n_shingles", F.col("r.doc_id").alias("rep"), "r.bands", "r.sketch"))
-
-    banded = reps.select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("first")).where("members > 1")
-    rows = cut(banded.join(shared, "band"))
-    few = rows.where(f"members <= {SMALL_BAND}").select("band", "rep")
-    pairs = few.alias("x").join(few.alias("y"), "band").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    sets = signed.where(has).groupBy("d1", "h")
+    nodes = sets.agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("r"), F.count(F.lit(1)).alias("copies"))
+    nodes = cut(nodes.select(F.monotonically_increasing_id().alias("node"), "d1", "h", F.col("r.doc_id").alias("doc"), "r.n_shingles", "r.bands", "r.sketch", "copies"))
+
+    count = nodes.count()
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where("n > 1").withColumn("members", F.col("n"))
+    rows = cut(join_hot(banded, shared, ["band"], "n", BANDS * count))
+    few = rows.where(f"members <= {SMALL_BAND}").select("band", "node")
+    pairs = few.alias("x").join(few.alias("y"), "band").where("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     upto = "0"
     for batch, m in enumerate(least):  # a batch is looked at only if those before it have not pruned the pair
         upto += f" + 64 - bit_count(sa[{batch}] ^ sb[{batch}])"
         pairs = pairs.where(f"{upto} >= {m}")
-    stars = rows.where(f"members > {SMALL_BAND}").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    cells = connected_components(pairs.select("a", "b").unionByName(stars))
-
-    sized = cells.join(reps.select(F.col("rep").alias("node"), "n_shingles", "sketch"), "node")
-    blocks = sized.groupBy("component").agg(F.expr(f"cast(ceil(greatest(count(1) / {BLOCK_DOCS}, sum(n_shingles) / {BLOCK_SHINGLES})) as int)").alias("blocks"))
-    members = cut(
-        sized.join(blocks, "component").select(
-            F.col("node").alias("doc_id"), F.col("component").alias("cell"), "n_shingles", "sketch", "blocks", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block")
-        )
-    )
-    found = join_checked(texts, members, ["doc_id"], "inner", rows=500_000, salt=False).dropDuplicates(["doc_id"])
-    dealt = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "cell", F.least("block", "k").alias("bi"), F.greatest("block", "k").alias("bj"), "block", F.col("doc_id").alias("rep"), "n_shingles", "sketch", "text"
-    )
-    dealt = dealt.repartition("cell", "bi", "bj").sortWithinPartitions("cell", "bi", "bj", "rep")
-    links = cut(dealt.mapInPandas(_verifier(k, percent, least), "a long, b long"))
-    joined = connected_components(links)
-
-    linked = reps.select("d1", "d2", "n_shingles", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    linked = cut(linked.select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(linked, ["d1", "d2", "n_shingles"], "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id")))
+    stars = rows.where(f"members > {SMALL_BAND} and node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    edges = cut(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(stars.distinct()))
+    cells = connected_components(edges)
+
+    sized = cells.select("node", F.col("component").alias("cell")).join(nodes.select("node", "doc", "h", "n_shingles", "sketch"), "node")
+    blocks = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.expr(f"cast(ceil(greatest(count(1) / {BLOCK_DOCS}, sum(n_shingles) / {BLOCK_SHINGLES})) as int)").alias("blocks"))
+    members = cut(join_hot(sized, blocks, ["cell"], "n", count))
+    alone = members.where("blocks = 1").withColumn("tasks", F.expr("array(" + TASK.format(cell="cell", bi=0, bj=0, block=0) + ")")).drop("blocks")
+    links = cut(_dealt(texts, alone).mapInPandas(verifier, "a long, b long"))
+    large = members.where("blocks > 1")
+    if not large.isEmpty():
+        first = _first_links(texts, edges, large, verifier)
+        joined = connected_components(first)
+        labelled = large.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+        counts = cut(labelled.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")))
+        needs = lambda c, n, s: F.expr(f"cast(ceil(greatest({n} / {BLOCK_DOCS}, {s} / {BLOCK_SHINGLES})) as int)").alias(c)
+        whole = counts.groupBy("cell").agg(F.sum("n").alias("rows"), F.sum("shingles").alias("s"), F.max(F.struct("n", "part", "shingles")).alias("m"))
+        whole = whole.select("cell", F.col("m.part").alias("main"), "rows", needs("r", "(rows - m.n)", "(s - m.shingles)"), needs("q", "m.n", "m.shingles"))
+        rest = join_hot(cut(labelled), whole.where("r > 0"), ["cell"], "rows", count).withColumn("i", F.expr("cast(if(part = main, r + pmod(xxhash64(node), q), pmod(xxhash64(node), r)) as int)"))
+        tasks = "transform(sequence(0, if(i >= r, r, r + q) - 1), j -> " + TASK.format(cell="cell", bi="least(i, j)", bj="greatest(i, j)", block="i") + ")"
+        more = _dealt(texts, cut(rest.select("node", "doc", "h", "n_shingles", "sketch", F.expr(tasks).alias("tasks")))).mapInPandas(verifier, "a long, b long")
+        links = links.unionByName(first).unionByName(cut(more))
+    joined = cut(connected_components(links))
+
+    label = nodes.select("node", "d1", "h", "doc", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least_doc = label.groupBy("component").agg(F.min(F.struct("doc", "h", "d1")).alias("least"), F.count(F.lit(1)).alias("n"))
+    label = join_hot(label, least_doc, ["component"], "n", count)
+    label = cut(label.select("d1", "h", "copies", F.col("least.doc").alias("component_id"), (F.struct("doc", "h", "d1") == F.col("least")).alias("keeper")))
+    found = join_hot(signed.where(has).select("doc_id", "h", "n_shingles", "d1"), label, ["d1", "h"], "copies", signed.count())
+    found = found.withColumn("keeper", F.col("keeper") & (F.col("doc_id") == F.col("component_id")))
+    bare = signed.where(~has).select("doc_id", "h", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("keeper"))
+    return found.select(*bare.columns).unionByName(bare)
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of docs; similarity at least percent / 100."""
+    out = _verified(docs, k, percent, miss)
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def near_dedup(docs: DataFrame, k: int = 5, percent: int = 80, miss: float = 1e-7) -> DataFrame:
     """docs with one row of each component, the columns as they are."""
-    verdicts = cut(components(docs, k, percent, miss))
-    gone = cut(verdicts.where("not kept").select("doc_id").distinct())
-    kept = join_checked(docs, gone, ["doc_id"], "left_anti", salt=False)
-    twice = cut(verdicts.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    rest = join_checked(kept, twice, ["doc_id"], "left_anti", salt=False)
-    return rest.unionByName(join_checked(kept, twice, ["doc_id"], "left_semi", salt=False).dropDuplicates(["doc_id"]))
+    verdicts = cut(_verified(docs, k, percent, miss).where("doc_id is not null").select("doc_id", "h", "keeper"))
+    h = unused(docs, "_h")
+    keyed = docs.withColumn(h, F.xxhash64("text"))
+    named = lambda df: cut(df.select("doc_id", F.col("h").alias(h)).distinct())
+    kept = join_checked(keyed, named(verdicts.where("not keeper")), ["doc_id", h], "left_anti", salt=False)
+    twice = named(verdicts.groupBy("doc_id", "h").count().where("count > 1"))
+    if not twice.isEmpty():
+        rest = join_checked(kept, twice, ["doc_id", h], "left_anti", salt=False)
+        kept = rest.unionByName(join_checked(kept, twice, ["doc_id", h], "left_semi", salt=False).dropDuplicates(["doc_id", h]))
+    return kept.select(*docs.columns)
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

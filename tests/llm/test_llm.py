@@ -67,7 +67,15 @@ def _components(sets, percent):
     return {i: find(i) for i in sets}
 
 
-def test_near_dedup_equals_brute_force(spark):
+def _shingles(t, k=3):
+    w = nd.words_of(t)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize(("block", "band"), [(1024, 32), (16, 4), (5, 2)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, block, band):
+    monkeypatch.setattr(nd, "BLOCK_DOCS", block)  # small ones part the group, so that it is verified over many tasks
+    monkeypatch.setattr(nd, "SMALL_BAND", band)
     r = random.Random(5)
     base = prose(7, 120)
     texts = [None, "", "one two", "ONE two", " ".join(base)]
@@ -79,11 +87,7 @@ def test_near_dedup_equals_brute_force(spark):
     texts += [" ".join(prose(100 + i, 50)) for i in range(20)] + [" ".join(base)]
     got = {x.doc_id: x for x in nd.components(docs(spark, texts), k=3, percent=85).collect()}
 
-    def shingles(t):
-        w = nd.words_of(t)
-        return {tuple(w[i : i + 3]) for i in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()
-
-    sets = {i: shingles(t) for i, t in enumerate(texts)}
+    sets = {i: _shingles(t) for i, t in enumerate(texts)}
     assert {i: x.component_id for i, x in got.items()} == _components(sets, 85)
     assert all(got[i].n_shingles == len(s) for i, s in sets.items())
     kept = nd.near_dedup(docs(spark, texts).union(docs(spark, texts[:3])), k=3, percent=85)
@@ -91,6 +95,35 @@ def test_near_dedup_equals_brute_force(spark):
     assert nd.components(docs(spark, [])).count() == 0
 
 
+def test_near_dedup_of_chains(spark, monkeypatch):
+    """A large cell whose members are alike in chains only, among copies of one set in other words' order and case."""
+    monkeypatch.setattr(nd, "BLOCK_DOCS", 8)
+    monkeypatch.setattr(nd, "SMALL_BAND", 3)
+    r, w, texts = random.Random(9), prose(21, 80), []
+    for i in range(70):
+        if i % 3 == 0:
+            w = list(w)
+            w[r.randrange(len(w))] = f"c{i}"
+        texts.append(" ".join(w).upper() if i % 5 == 0 else "  ".join(w))
+    got = {x.doc_id: x.component_id for x in nd.components(docs(spark, texts), k=3, percent=85).collect()}
+    assert got == _components({i: _shingles(t) for i, t in enumerate(texts)}, 85)
+
+
+def test_near_dedup_of_clashing_ids(spark):
+    a, b = prose(1, 120), prose(2, 120)
+    near = lambda w: [*w[:-1], "other"]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(near(a))), (3, " ".join(near(b))), (None, " ".join(a)), (4, None), (4, ""), (4, None), (1, " ".join(a)), (5, "x" * 300_000)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, h int").withColumnRenamed("h", "_h")
+    got = [(x.doc_id, x.component_id, x.kept) for x in nd.components(df, k=3, percent=85).collect()]
+    want = [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False), (None, None, True)] + [(4, 4, True)] * 3 + [(5, 5, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    kept = nd.near_dedup(df, k=3, percent=85)
+    assert kept.columns == df.columns
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted({(rows[i]) for i in (0, 1, 4, 5, 6, 9)}, key=str)
+    twice = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(near(a))), (7, " ".join(a))], "doc_id long, text string")
+    assert nd.near_dedup(twice, k=3, percent=85).count() == 1
+
+
 def test_sharding(spark):
     texts = [None, "", "é", *["x" * (i % 97) for i in range(400)], "y" * 5000]
     rows = sorted(sh.shards(docs(spark, texts)).collect(), key=lambda x: x.doc_id)
