@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import types
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut, shared_dir
 
 __all__ = [
-    "TwoAges", "bounded_batches", "connected_components", "cut", "drop_documents", "give_back", "join_checked", "join_hot", "let", "session", "shared_dir", "small", "unused", "worker_cache",
+    "TwoAges", "bounded_batches", "connected_components", "cut", "drop_documents", "give_back", "join_checked", "join_hot", "let", "release", "session", "shared_dir", "small", "unused", "worker_cache",
 ]
 
 #: Largest number of narrow rows (a few longs each) that a join may broadcast.
@@ -128,6 +129,12 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, total:
     return cold.unionByName(marked.where("_hot is not null").select(*left.columns, *[F.col(f"_hot.{c}").alias(c) for c in values]))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Components of an undirected graph, by alternating large-star and small-star steps.
 
@@ -146,7 +153,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     )
     e = cut(e)
     seen = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
+        if turn % 3 == 2:
+            release(session(edges))
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             break
