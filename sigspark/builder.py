@@ -87,10 +87,20 @@ class RuleBuilder:
         return self.option("pcre", f'"/{pattern}/{flags}"')
 
     def flow(self, *values: str) -> RuleBuilder:
-        if not values:
-            raise S.BuilderError("flow needs a value")
+        bad = [v for v in values if v not in (*S.FLOW_DIRECTIONS, *S.FLOW_STATES)]
+        if not values or bad:
+            raise S.BuilderError(f"no such flow: {', '.join(bad)}" if bad else "flow needs a value")
         return self.option("flow", ",".join(values))
 
+    def content_builder(self) -> ContentBuilder:
+        return ContentBuilder(self)
+
+    def flow_builder(self) -> FlowBuilder:
+        return FlowBuilder(self)
+
+    def threshold_builder(self, keyword: str = "threshold") -> ThresholdBuilder:
+        return ThresholdBuilder(self, keyword)
+
     def buffer(self, name: str) -> RuleBuilder:
         return self.option(name)
 
@@ -102,6 +112,84 @@ class RuleBuilder:
         return f"{head} ({' '.join(o + ';' for o in self._options)})"
 
 
+class ContentBuilder:
+    """Parts of a content, in the order of the calls: buffers before it, modifiers as options after it; ``done`` goes back to the rule."""
+
+    def __init__(self, parent: RuleBuilder) -> None:
+        self._parent, self._pattern, self._after = parent, None, []
+
+    def pattern(self, value: str | bytes) -> ContentBuilder:
+        self._pattern = value
+        return self
+
+    def __getattr__(self, name: str):
+        dotted = name.replace("_", ".", 1)
+        if name in S.BUFFERS:
+            return lambda: (self._parent.buffer(dotted if name.startswith("tls") else name), self)[1]
+        if name in ("nocase", "rawbytes", "startswith", "endswith", "fast_pattern"):
+            return lambda: (self._after.append((name, None)), self)[1]
+        if name in ("depth", "offset", "distance", "within"):
+            return lambda value: (self._after.append((name, str(value))), self)[1]
+        raise AttributeError(name)
+
+    def done(self) -> RuleBuilder:
+        if self._pattern is None:
+            raise S.BuilderError("a content needs a pattern")
+        self._parent.content(self._pattern)
+        for name, value in self._after:
+            self._parent.option(name, value)
+        return self._parent
+
+
+class FlowBuilder:
+    """Directions and states of a flow option."""
+
+    def __init__(self, parent: RuleBuilder) -> None:
+        self._parent, self._values = parent, []
+
+    def __getattr__(self, name: str):
+        if name in (*S.FLOW_DIRECTIONS, *S.FLOW_STATES):
+            return lambda: (self._values.append(name), self)[1]
+        raise AttributeError(name)
+
+    def done(self) -> RuleBuilder:
+        return self._parent.flow(*self._values)
+
+
+class ThresholdBuilder:
+    """Type, track, count and seconds of a threshold (all four) or detection_filter (the last three)."""
+
+    TYPES, TRACKS = ("limit", "threshold", "both"), ("by_src", "by_dst", "by_rule", "by_both")
+
+    def __init__(self, parent: RuleBuilder, keyword: str = "threshold") -> None:
+        self._parent, self._keyword, self._parts = parent, keyword, {}
+
+    def threshold_type(self, value: str) -> ThresholdBuilder:
+        return self._set("type", value, value in self.TYPES)
+
+    def track(self, value: str) -> ThresholdBuilder:
+        return self._set("track", value, value in self.TRACKS)
+
+    def count(self, value: int) -> ThresholdBuilder:
+        return self._set("count", value, value > 0)
+
+    def seconds(self, value: int) -> ThresholdBuilder:
+        return self._set("seconds", value, value > 0)
+
+    def _set(self, name: str, value, ok: bool) -> ThresholdBuilder:
+        if not ok:
+            raise S.BuilderError(f"no such {name}: {value}")
+        self._parts[name] = value
+        return self
+
+    def done(self) -> RuleBuilder:
+        names = ("type", "track", "count", "seconds")[self._keyword != "threshold" :]
+        lack = [x for x in names if x not in self._parts]
+        if lack:
+            raise S.BuilderError(f"{self._keyword} needs {', '.join(lack)}")
+        return self._parent.option(self._keyword, ", ".join(f"{x} {self._parts[x]}" for x in names))
+
+
 def build_column(action: Column, protocol: Column, src: Column, src_port: Column, direction: Column, dst: Column, dst_port: Column, *options: Column) -> Column:
     """Rule texts from columns; null options are left out."""
     return F.concat(F.concat_ws(" ", action, protocol, src, src_port, direction, dst, dst_port), F.lit(" ("), F.concat_ws(" ", *options), F.lit(")"))

@@ -69,6 +69,21 @@ def optimize(rules: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return rows.withColumns({"improvement": gain, "modified": F.size("strategies") > 0})
 
 
+#: strategy -> what it does
+DESCRIPTIONS = {"OptionReorder": "cheap checks come before costly ones", "FastPattern": "the best content is the fast pattern", "RedundancyRemoval": "options that repeat an earlier one go"}
+
+
+def records(optimized: DataFrame) -> DataFrame:
+    """Adds records: for each strategy that changed the rule (strategy, description, gain, before, after, details), texts as the printer gives them."""
+    from ..functions.printer import rule_text
+
+    texts = let(optimized.withColumn("_options", F.col("options")), _before=rule_text()).withColumn("options", F.col("optimized"))
+    texts = let(texts, _after=rule_text()).withColumn("options", F.col("_options")).drop("_options")
+    said = "CASE s " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in DESCRIPTIONS.items()) + " END"
+    made = "transform(strategies, s -> named_struct('strategy', s, 'description', " + said + ", 'gain', improvement, 'before', _before, 'after', _after, 'details', map('options_before', size(options), 'options_after', size(optimized))))"
+    return let(texts, records=F.expr(made)).drop("_before", "_after")
+
+
 def optimizer_statistics(optimized: DataFrame) -> DataFrame:
     """One row: totals, rate, the mean and largest of positive improvements, and how often each strategy changed a rule."""
     better = F.when(F.col("improvement") > 0, F.col("improvement"))

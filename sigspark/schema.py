@@ -52,6 +52,10 @@ REORDER = {
 NEVER_REDUNDANT = ("MsgOption", "SidOption", "RevOption", "GidOption", "ReferenceOption", "MetadataOption")
 COMMON_PORTS = (20, 21, 22, 23, 25, 53, 80, 110, 143, 443, 445, 993, 995, 1433, 3306, 3389, 5432, 5900, 8080, 8443)
 HIGH_PORTS = (80, 443, 22, 445)
+PORT_NAMES = {
+    20: "FTP Data", 21: "FTP", 22: "SSH", 23: "Telnet", 25: "SMTP", 53: "DNS", 80: "HTTP", 110: "POP3", 143: "IMAP", 443: "HTTPS", 445: "SMB", 993: "IMAPS", 995: "POP3S",
+    1433: "MS SQL", 3306: "MySQL", 3389: "RDP", 5432: "PostgreSQL", 5900: "VNC", 8080: "HTTP-Alt", 8443: "HTTPS-Alt",
+}
 
 
 class RuleError(Exception):

@@ -80,3 +80,33 @@ def batches(rules: DataFrame, order: str, size: int = 1000, partition: str | Non
 def from_json(df: DataFrame, column: str, like: DataFrame, keep: Iterable[str] = ()) -> DataFrame:
     """Rules of lossless JSON texts, in the schema of ``like``, with the columns of df to keep."""
     return df.select(F.from_json(column, like.schema).alias("_r"), *keep).select("_r.*", *keep)
+
+
+def from_envelopes(df: DataFrame, column: str, like: DataFrame, version: str = "1.0.0") -> DataFrame:
+    """Rules of JSON envelopes, of one rule or a list, in the schema of ``like``; another version fails the query."""
+    from pyspark.sql import types as T
+
+    one = like.schema
+    kind = lambda data: T.StructType([T.StructField("ast_version", T.StringType()), T.StructField("data", data)])
+    rows = df.select(F.from_json(column, kind(T.StructType([T.StructField("rules", T.ArrayType(one))]))).alias("m"), F.from_json(column, kind(one)).alias("s"))
+    wrong = F.raise_error(F.concat(F.lit("unknown version "), F.coalesce("s.ast_version", F.lit("none"))))
+    rules = F.when(F.col("s.ast_version").eqNullSafe(version), F.coalesce("m.data.rules", F.array("s.data"))).otherwise(wrong)
+    return rows.select(F.inline(rules))
+
+
+def assemble_legacy(lines: DataFrame) -> DataFrame:
+    """Logical rules from lines by their ends alone: file_path, start_line, end_line, text.
+
+    A line that ends with a semicolon ends the rule, and one that ends with a closing parenthesis does if an opening
+    one came since the last line of either end (before that, it was part of an ended rule or there was none).
+    """
+    rows = lines.withColumn("text", F.trim("text")).where("text <> '' and not text like '#%'")
+    order = Window.partitionBy("file_path").orderBy("line_no")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.col("text").rlike("[;)]$").cast("int")
+    rows = rows.withColumn("_seg", F.coalesce(F.sum(ends).over(before), F.lit(0)))
+    opened = F.max(F.contains("text", F.lit("(")).cast("int")).over(Window.partitionBy("file_path", "_seg"))
+    rows = rows.withColumn("_done", (F.col("text").endswith(";") | (F.col("text").endswith(")") & (opened == 1))).cast("int"))
+    rows = rows.withColumn("_rec", F.coalesce(F.sum("_done").over(before), F.lit(0)))
+    made = rows.groupBy("file_path", "_rec").agg(F.sort_array(F.collect_list(F.struct("line_no", "text"))).alias("l"))
+    return made.select("file_path", F.expr("l[0].line_no").alias("start_line"), F.expr("element_at(l, -1).line_no").alias("end_line"), F.array_join("l.text", " ").alias("text"))

@@ -36,6 +36,16 @@ def envelope(rules: DataFrame) -> Column:
     return F.to_json(F.struct(F.lit(VERSION).alias("ast_version"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("timestamp"), F.lit(1).alias("count"), F.struct(*[F.col(c) for c in rules.columns]).alias("data")))
 
 
+def envelopes(rules: DataFrame, order: str, size: int = 1000) -> DataFrame:
+    """(batch, json): the rules in envelopes of at most ``size``, by runs of order // size; no task holds more than one run."""
+    one = F.struct(*[F.col(c) for c in rules.columns])
+    runs = rules.groupBy(F.expr(f"{order} div {size}").alias("batch")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.to_json(one).alias("j")))).alias("l"))
+    listed = F.concat(F.lit('{"rules":['), F.array_join("l.j", ","), F.lit("]}"))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    head = F.concat(F.lit(f'{{"ast_version":"{VERSION}","timestamp":"'), stamp, F.lit('","count":'), F.size("l").cast("string"), F.lit(',"data":'))
+    return runs.select("batch", F.concat(head, listed, F.lit("}")).alias("json"))
+
+
 def write_json_array(rules: DataFrame, path: str) -> int:
     """One JSON array in a local file, streamed through the driver a partition at a time; returns the count."""
     n = 0

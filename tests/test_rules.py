@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 from sigspark import schema as S
@@ -121,7 +122,7 @@ def test_conflicts_cover_all_rules(spark):
         body = ";".join(sorted(o.raw for o in r.options if o.node_type not in S.METADATA_TYPES))
         sig = "|".join([r.protocol, r.src_addr.text, r.src_port.text, r.direction, r.dst_addr.text, r.dst_port.text, body])
         want[hashlib.sha256(sig.encode()).hexdigest()] += 2
-    got = {r.signature: r.rules for r in entry.queries()["conflicting_signatures"](spark, d).collect()}
+    got = {r.signature: r.rules for r in entry.queries()["conflicting_action"](spark, d).collect()}
     assert got == want and sum(got.values()) == 2 * rules_from_events(spark, d).count()
 
 
@@ -183,3 +184,167 @@ def test_similarity_queries_return_copies(spark):
     got = {(x.id_a, x.id_b) for x in entry.queries()["doc_near_duplicates"](spark, d).collect()}
     copies = [(v[0], i) for v in texts.values() for i in v[1:]]
     assert copies and {b for _, b in copies} <= {b for _, b in got}
+
+
+def test_every_query_against_its_sql(spark):
+    """All registered queries of the engine at the smallest scale; those without SQL must run."""
+    from sigspark.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("events", "documents"):
+        con.sql(f"create view {t} as select * from '{d}/{t}.parquet'")
+    for name, run in catalogue.QUERIES.items():
+        got = run(spark, d)
+        rows = got.toPandas()
+        if name not in catalogue.ORACLES:
+            assert len(rows) > 0, name
+            continue
+        cols = sorted(got.columns)
+        want = con.sql(catalogue.ORACLES[name]).df()
+        assert sorted(want.columns) == cols, name
+        shown = lambda df: sorted(tuple("" if v is None or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in df[cols].astype(object).values.tolist())  # noqa: B023, E731
+        assert shown(rows) == shown(want), name
+
+
+def test_rules_of_any_length(spark):
+    long = 'alert tcp any any -> any any (msg:"{}"; sid:1;)'
+    listed = "alert tcp [" + ",".join(f"10.{i // 250}.{i % 250}.1" for i in range(5000)) + "] ![80,![81,82]] -> any any (sid:2;)"
+    many = "alert tcp any any -> any any (" + " ".join(f'content:"c{i}";' for i in range(998)) + " sid:3;)"
+    texts = [long.format("x" * 99_900), listed, many, many.replace(" sid:3", ' content:"x"; content:"y"; sid:3'), long.format("x" * 100_000), long.format("\\\\a" * 20_000), "alert tcp [" + "[" * 40_000, "alert tcp any any -> any any (" + '"' * 50_001]
+    rows = {r["index"]: r for r in from_texts(spark, texts).collect()}
+    assert rows[0].ok and len(rows[0].msg) == 99_900
+    assert rows[1].ok and len(rows[1].src_addr.atoms) == 5000 and [(a.value, a.negated) for a in rows[1].src_port.atoms] == [(80, True), (81, False), (82, False)]
+    assert rows[2].ok and len(rows[2].options) == 999 and not rows[3].ok and rows[3].diagnostics[0].message == "too many options"
+    assert rows[4].diagnostics[0].message == "rule is longer than the limit" and rows[5].ok and not rows[6].ok and not rows[7].ok
+
+
+def test_comma_parts_options(spark):
+    texts = [
+        'alert tcp any any -> any any (msg:"a, sid:9", sid:1)', 'alert tcp any any -> any any (content:"x",depth 3,nocase, metadata:k v, x y; sid:2)',
+        'alert tcp any any -> any any (reference:url,example.com/a:1, rev:2, sid:3;)',
+    ]
+    rows = {r.sid: r for r in from_texts(spark, texts).collect()}
+    assert rows[1].msg == "a, sid:9" and len(rows[1].options) == 2
+    assert [m.name for m in rows[2].options[0].modifiers] == ["depth", "nocase"] and [(e.key, e.value) for e in rows[2].options[1].entries] == [("k", "v"), ("x", "y")]
+    assert rows[3].options[0].ref_id == "example.com/a:1" and rows[3].options[1].value_int == 2
+
+
+def test_coverage_report(spark):
+    from sigspark.operators import analysis as A
+    from sigspark.operators.reports import report
+    from sigspark.plans.bridge import rules_from_events
+
+    rules = rules_from_events(spark, "/root/testdata/sf0.001").cache()
+    got = report(rules)
+    assert got.counts["port"] == {str(r.port): r.rules for r in A.port_coverage(rules).collect()}
+    assert got.counts["content_type"] == {r.content_type: r.cnt for r in A.content_types(rules).collect()}
+    assert got.total == rules.count() and sum(got.counts["action"].values()) == got.total
+    assert {(g["gap_type"], g["severity"]) for g in got.gaps()} == {(r.gap_type, r.severity) for r in A.gaps(rules).collect()}
+    assert len(got.gaps()) == A.gaps(rules).count()
+    assert "## Gaps" in got.to_markdown() and "uncovered" in got.to_text() and got.to_dict()["total_rules"] == got.total
+    nothing = report(rules.limit(0))
+    assert nothing.total == 0 and nothing.gaps() == [] and nothing.to_text()
+
+
+def test_overlapping_contents_equal_brute_force(spark):
+    import itertools
+    import random
+
+    from sigspark.operators.conflicts import all_conflicts, at_least, index, overlapping_contents
+
+    r = random.Random(3)
+    texts, sets = [], {}
+    for i in range(1, 120):
+        p = sorted({f"p{min(r.randrange(12), r.randrange(12))}" for _ in range(r.randrange(1, 8))})
+        port = r.choice([80, 443])
+        sets[i] = (port, frozenset(p))
+        texts.append(f"alert tcp any any -> any {port} (" + " ".join(f'content:"{x}";' for x in p) + f" sid:{i};)")
+    rules = from_texts(spark, texts)
+    want, reps = set(), {}
+    for i, s in sets.items():
+        if reps.setdefault(s, i) != i:
+            want.add((reps[s], i, 1.0))
+    for (a, i), (b, j) in itertools.combinations(reps.items(), 2):
+        if a[0] == b[0] and len(a[1] & b[1]) / len(a[1] | b[1]) > 0.75:
+            want.add((i, j, len(a[1] & b[1]) / len(a[1] | b[1])))
+    assert {tuple(x) for x in overlapping_contents(rules).collect()} == want and len(want) > 20
+    found = all_conflicts(rules)
+    assert found.where("kind = 'overlapping'").count() == len(want) and at_least(found, "high").count() == 0
+    assert {k: v.count() > 0 for k, v in index(rules).items()} == {"by_sid": True, "by_header": True, "by_pattern": True, "by_action": True, "by_protocol": True, "setters": False, "checkers": False}
+
+
+def test_builders_envelopes_records_and_index(spark):
+    from sigspark.operators.optimize import optimize, records
+    from sigspark.sources.readers import assemble_legacy, from_envelopes
+    from sigspark.sources.writers import envelope, envelopes
+
+    made = RuleBuilder().alert().tcp().source().to("any", 80).msg("x")
+    made.content_builder().http_uri().pattern(b"GET").nocase().depth(10).done().flow_builder().to_server().established().done()
+    text = made.threshold_builder().threshold_type("limit").track("by_src").count(1).seconds(60).done().sid(5).build()
+    row = from_texts(spark, [text]).first()
+    assert row.ok and [o.keyword for o in row.options] == ["msg", "http_uri", "content", "nocase", "depth", "flow", "threshold", "sid"]
+    for bad in (lambda b: b.content_builder().done(), lambda b: b.flow_builder().done(), lambda b: b.threshold_builder().count(1).done(), lambda b: b.flow("sideways"), lambda b: b.threshold_builder().count(0)):
+        with pytest.raises(S.BuilderError):
+            bad(RuleBuilder())
+    rules = from_texts(spark, [GOOD, text, GOOD.replace("sid:1", "sid:9")])
+    packed = envelopes(rules, "index", 2)
+    assert [x["count"] for x in packed.selectExpr("from_json(json, 'count int') as c", "batch").orderBy("batch").select("c.count").collect()] == [2, 1]
+    back = from_envelopes(packed, "json", rules)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rules.collect()))
+    assert from_envelopes(rules.select(envelope(rules).alias("j")), "j", rules).count() == 3
+    with pytest.raises(Exception, match="unknown version"):
+        from_envelopes(spark.createDataFrame([('{"ast_version":"2.0.0"}',)], "j string"), "j", rules).collect()
+    done = records(optimize(from_texts(spark, ['alert tcp any any -> any any (sid:1; content:"abcd"; content:"efghij";)']))).first()
+    assert [x.strategy for x in done.records] == done.strategies and done.records[0].before != done.records[0].after and done.records[0].details["options_before"] == 3
+    sigs = spark.createDataFrame([(1, [1] * 128), (2, [2] * 128)], "id long, sig array<long>")
+    lsh = M.LshIndex(sigs).add(spark.createDataFrame([(2, [3] * 128), (3, [1] * 128)], "id long, sig array<long>"))
+    assert len(lsh) == 3 and len(lsh.remove(sigs.where("id = 1").select("id"))) == 2 and len(lsh.clear()) == 0
+    assert {(x.query_id, x.id) for x in lsh.search(sigs.where("id = 1")).collect()} == {(1, 1), (1, 3)}
+    lines = ["alert tcp any any", "-> any any (msg:\"a\";", "sid:1;)", "odd)", "drop udp any any -> any any (sid:2;)", "# c", "tail"]
+    got = assemble_legacy(spark.createDataFrame([("f", i + 1, x) for i, x in enumerate(lines)], "file_path string, line_no int, text string"))
+    assert sorted((x.start_line, x.end_line) for x in got.collect()) == [(1, 2), (3, 5), (7, 7)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sigspark.cli import main
+
+    good = tmp_path / "a.rules"
+    good.write_text('alert tcp any any -> any 80 (msg:"a"; sid:1;)\n# c\ndrop udp any any -> any 53 (msg:"b"; sid:2;)\n')
+    bad = tmp_path / "b.rules"
+    bad.write_text("nonsense\n")
+    assert main(["parse", str(good)]) == 0 and "2 rules, 0 errors" in capsys.readouterr().out
+    assert main(["parse", str(bad)]) == 1
+    assert main(["fmt", str(good), "--check"]) == 0 and main(["fmt", str(good)]) == 0
+    assert main(["validate", str(good), "--strict"]) == 0 and main(["validate", str(bad)]) == 1
+    capsys.readouterr()
+    assert main(["stats", str(good), "--format", "json"]) == 0 and '"total_rules": 2' in capsys.readouterr().out
+    assert main(["stats", str(good)]) == 0 and "action" in capsys.readouterr().out
+    assert main(["to-json", str(good), str(tmp_path / "j")]) == 0 and main(["from-json", str(tmp_path / "j"), str(tmp_path / "t")]) == 0
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "t")).collect()) == ['alert tcp any any -> any 80 (msg:"a"; sid:1;)', 'drop udp any any -> any 53 (msg:"b"; sid:2;)']
+    assert main(["schema"]) == 0 and main(["plugins"]) == 0
+
+
+def test_protobuf_round_trips(spark):
+    from sigspark.plans.bridge import rules_from_events
+    from sigspark.sources import protobuf as P
+
+    texts = [
+        GOOD, "drop ip [10.0.0.1-10.0.0.9,!$NET] any <> ![1.2.3.0/24,[::1,any]] [1:5,!7,$P] (lua:!a.lua; filestore:to_client,file; fast_pattern; sid:4; distance:-5; within:x; threshold:type limit; http_uri; content:\"a|3B|\";)",
+    ]
+    rules = from_texts(spark, texts)
+    whole = P.from_protobuf(P.to_protobuf(rules, "index"), "data")
+    shown = lambda df: sorted(map(repr, df.select("action", "protocol", "direction", "dialect", "src_addr", "src_port", "dst_addr", "dst_port", "options", "raw_text").collect()))
+    assert shown(whole) == shown(rules)
+    bare = P.from_protobuf(P.to_protobuf(rules, "index", with_raw=False), "data").orderBy("key").collect()
+    for a, b in zip(rules.orderBy("index").collect(), bare):
+        assert b.ok and [o.asDict() | {"raw": ""} for o in b.options] == [o.asDict() | {"raw": ""} for o in a.options]
+        assert (a.src_addr, a.src_port, a.dst_addr, a.dst_port, a.action, a.protocol) == (b.src_addr, b.src_port, b.dst_addr, b.dst_port, b.action, b.protocol)
+    events = rules_from_events(spark, "/root/testdata/sf0.001")
+    packed = P.to_protobuf_batches(events, "id", 100)
+    back = P.from_protobuf_batches(packed, "data")
+    assert back.exceptAll(events.select(*back.columns)).count() == 0 and back.count() == events.count()
+    assert P.from_protobuf_batches(spark.createDataFrame([(None,), (b"",)], "data binary"), "data").count() == 0
+    assert P.encode_rule({"action": "alert", "protocol": "tcp", "direction": "->", "dialect": "suricata", "src_addr": "any", "src_port": "any", "dst_addr": "any", "dst_port": "80", "options": [], "diagnostics": [], "raw_text": None}) == bytes.fromhex("0801121608011202 3a00 1a02 3200 2001 2a02 3a00 3204 0a02 0850 2001".replace(" ", ""))
+    with pytest.raises(S.ParseError):
+        P.decode_rule(b"\x12\x50a")
