@@ -1,6 +1,11 @@
 """A training-corpus pipeline: five stages over documents, each a step of the operators in sigspark.llm.
 
 Each stage gets what its predecessor kept, and all but the last return the columns of documents.
+
+Defined results: a null or empty text fails the quality rules, as does one of under 20 words; of equal rows one stays
+(near dedup); rows of a null doc_id that pass the quality rules stay to the end, since nothing names them; ties are
+broken by the smallest doc_id; an empty table gives an empty result with the same columns; further columns of
+documents, whatever their names, pass through the first four stages untouched.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigspark.llm.common import shared_dir
+from sigspark.functions.lineage import remove, shared_dir
 from sigspark.llm.decontaminate import decontaminate
 from sigspark.llm.line_dedup import line_dedup
 from sigspark.llm.near_dedup import near_dedup
@@ -41,16 +46,18 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("decontamination", benchmark), ("piece encoding", pieces)]
 
-#: Hash sketches, alignments and Viterbi paths have no SQL; tests hold the stages against brute force.
+#: Hash sketches, alignments and Viterbi paths have no SQL; a test holds the rows of run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder as Parquet and read again."""
+    """The stages over documents, each written to the shared folder as Parquet and read again; only the last one's folder stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
         path = f"{base}/{i}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if i:
+            remove(spark, f"{base}/{i - 1}")
     return docs
