@@ -54,27 +54,41 @@ def _chunked(docs: DataFrame, divisor: int, min_words: int) -> DataFrame:
 def repeats(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS, hashed: Callable[[str], Column] = F.xxhash64) -> DataFrame:
     """(doc_id, _hash of the text, _gone: the places of the chunks that repeat an earlier one); only texts with such.
 
-    Hashes that repeat are found on narrow rows. The bytes under each of them are compared by their least and
-    greatest text, which combines on the map side: a task sends at most two texts a hash, however often it
-    occurs. Under hashes whose two texts differ, chunks are grouped by their bytes.
+    Hashes that repeat, and their places, are found on narrow rows (a few numbers a chunk). Only texts with such
+    a chunk are read again to compare the bytes under each hash by their least and greatest text, which
+    combines on the map side: a task sends at most two texts a hash, however often it occurs. Under hashes
+    whose two texts differ, chunks are grouped by their bytes.
     """
-    chunks = _chunked(docs.select("doc_id", "text"), divisor, min_words).select("doc_id", F.xxhash64("text").alias("_hash"), F.posexplode("_chunks").alias("pos", "c"))
-    chunks = chunks.select("doc_id", "_hash", "pos", F.expr("c.end > c.start").alias("pair"), F.col("c.text").alias("chunk"))
-    chunks = chunks.withColumn("key", hashed("chunk"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_hash"))
+    listed = _chunked(keyed, divisor, min_words)
+    chunk = F.struct(F.col("c.end") > F.col("c.start"), hashed("c.text"))
+    narrow = listed.select("doc_id", "_hash", F.posexplode("_chunks").alias("pos", "c")).select("doc_id", "_hash", "pos", chunk.alias("c"))
+    narrow = narrow.select("doc_id", "_hash", "pos", F.col("c.col1").alias("pair"), F.col("c.col2").alias("key"))
     place = F.struct("doc_id", "_hash", "pos")
-    known = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("key", "first")
-    hits = join_checked(chunks, cut(known), ["key"], "inner")
-    mixed = cut(hits.groupBy("key").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select("key"))
-    alike = join_checked(hits.drop("chunk"), mixed, ["key"], "left_anti", salt=False)
-    apart = join_checked(chunks, mixed, ["key"], "inner")
+    known = cut(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").select("key", "first"))
+    hits = join_checked(narrow, known, ["key"], "inner")
+    at = cut(hits.groupBy("doc_id", "_hash").agg(F.collect_set(F.struct("pos", "pair", "key", "first")).alias("_hits")))  # as many as the text has chunks
+    again = _with(keyed, at.withColumn("_hits", F.transform("_hits", lambda x: F.struct(x["pos"], x["key"]))), "_hits", 16)
+    texts = _chunked(again, divisor, min_words).select("doc_id", "_hash", F.expr("inline(transform(_hits, x -> named_struct('pos', x.pos, 'key', x.key, 'chunk', _chunks[x.pos].text)))"))
+    mixed = cut(texts.groupBy("key").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low <> high").select("key"))
+    rows = at.select("doc_id", "_hash", F.inline("_hits"))
+    alike = join_checked(rows, mixed, ["key"], "left_anti", salt=False)
+    apart = join_checked(texts, mixed, ["key"], "inner")
     firsts = apart.groupBy("key", "chunk").agg(F.min(place).alias("first"))
-    apart = apart.join(firsts, ["key", "chunk"]).select(alike.columns)
+    apart = apart.join(firsts, ["key", "chunk"]).withColumn("pair", F.contains("chunk", F.lit("\n"))).select(alike.columns)
     gone = alike.unionByName(apart).where(~place.eqNullSafe(F.col("first")))  # equal rows only
     beside = F.struct("doc_id", "_hash", F.expr("pos - 1").alias("pos"))  # three equal lines: the second pair shares one with the first
     gone = gone.where(~(F.col("pair") & beside.eqNullSafe(F.col("first"))))
     return gone.groupBy("doc_id", "_hash").agg(F.collect_set("pos").alias("_gone"))  # as many as the text has chunks
 
 
+def _with(keyed: DataFrame, per_text: DataFrame, column: str, width: int, how: str = "inner") -> DataFrame:
+    """keyed (doc_id, _hash, ...) with the array that per_text (doc_id, _hash, column) holds for the text; null doc_ids meet too."""
+    number = per_text.select(F.xxhash64("doc_id").alias("_key"), "_hash", column)
+    rows = keyed.withColumn("_key", F.xxhash64("doc_id"))
+    return join_checked(rows, number, ["_key", "_hash"], how, rows=500_000, size=F.size(column) * width, salt=False).drop("_key")
+
+
 def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with text deduplicated, and n_chunks_removed and emptied added."""
     own = [F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)]  # no name of docs can clash with those used here
@@ -108,3 +122,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the deduplicated text, n_chunks_removed and emptied of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs)
+
+
+ORACLE_SQL = rf"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+k AS (SELECT doc_id, line, i, row_number() OVER w AS j, lead(i) OVER w AS next FROM l WHERE regexp_matches(line, '{WORD}') WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, array_to_string(ls[i:next], chr(10)) AS chunk, i AS a, next AS b, j FROM k JOIN d USING (doc_id) WHERE next IS NOT NULL
+  UNION ALL SELECT doc_id, line, i, i, j FROM k WHERE len(regexp_extract_all(line, '{WORD}')) >= {MIN_WORDS}),
+f AS (SELECT *, first_value(doc_id) OVER w AS d0, first_value(j) OVER w AS j0 FROM c WINDOW w AS (PARTITION BY chunk ORDER BY doc_id, j)),
+g AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS i FROM f WHERE (doc_id <> d0 OR j <> j0) AND NOT (b > a AND doc_id = d0 AND j = j0 + 1)),
+n AS (SELECT doc_id, count(*) FILTER (WHERE before IS NULL OR before <> i - 1) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g) GROUP BY doc_id),
+r AS (SELECT l.doc_id, array_to_string(list(line ORDER BY l.i) FILTER (WHERE g.i IS NULL), chr(10)) AS text, coalesce(bool_or(regexp_matches(line, '{WORD}')) FILTER (WHERE g.i IS NULL), false) AS rest
+  FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i WHERE l.doc_id IN (SELECT doc_id FROM g) GROUP BY l.doc_id)
+SELECT doc_id, CASE WHEN n IS NULL THEN documents.text WHEN rest THEN r.text ELSE '' END AS text, coalesce(n, 0)::INT AS n_chunks_removed, n IS NOT NULL AND NOT rest AS emptied
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id)"""
