@@ -11,16 +11,21 @@
 
 Blocks are block-level elements and table cells; <br> is white space in a block. Boilerplate inside the
 container (by tag, role or class and id words) is left out: menus, headers and footers, sidebars, notices,
-adverts, forms, scripts, styles, reader comments. A header element in the container keeps its headings.
+adverts, forms, scripts, styles, reader comments. Words that are also used of content (side, share, alert) mark
+boilerplate as a whole class or id, or outside an article; as a part of one inside an article, only if most of
+the text there is in links. A header in an article keeps its headings.
 
 Defined results: null, empty or textless html gives ''; a null or host-less url votes with host ''; repeated
-rows vote and return once each; an empty table gives an empty result; extra columns are not looked at.
+rows vote and return once each; of paths with equal votes the first wins; pages of any length are read in one
+pass, unclosed tags and quotes included; elements nested deeper than 512 are read as children of that level; an
+empty table gives an empty result; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +34,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, cut, join_checked, session
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A tag ends before the next <, outside quotes; possessive, so a tag that never ends is given up where it breaks off.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -42,74 +48,92 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CONTAINERS = {"article", "body", "div", "main", "section", "td", "center", "blockquote"}
 #: Elements that an opening tag closes, up to the nearest of the bounds.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
+#: Deeper elements are read as children of this level, as browsers do.
+DEEPEST = 512
+#: Words of boilerplate anywhere in a class or id; those that mark it as a whole class or id, and are a hint as a part of one.
 NOISE = re.compile(
-    r"^(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|comments?|commentlist|disqus|replies|respond|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|foot|header|masthead|topbar|"
-    r"cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|widget|pagination|pager|toolbar|skip|disclaimer|outbrain|taboola)$"
+    r"^(?:ads?|advert\w*|sponsor\w*|comments?|commentlist|disqus|sidebar|nav|navbar|navigation|breadcrumbs?|footer|masthead|topbar|cookies?|consent|gdpr|newsletter|subscription|sharing|"
+    r"pagination|pager|toolbar|outbrain|taboola)$"
+)
+HINT = re.compile(
+    r"^(?:banner|promo\w*|replies|respond|side|menu|foot|notice|notices|alert|popup|modal|overlay|subscribe|signup|login|search|share|social|related|recommended|widget|skip|disclaimer)$"
 )
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "hidden", "up", "chars", "links")
-
-    def __init__(self, tag: str, path: str, noise: bool, hidden: bool, up: _Node | None) -> None:
-        self.tag, self.path, self.noise, self.hidden, self.up, self.chars, self.links = tag, path, noise, hidden, up, 0, 0
-
-
-def _names(attrs: str) -> tuple[str, bool]:
-    """The generalised classes, and whether class, id, role or hidden mark boilerplate."""
-    classes, noise = "", False
+    """An element, with what its ancestors make of it, so that nothing has to climb."""
+
+    __slots__ = ("tag", "path", "hidden", "up", "chars", "links", "holder", "box", "heading", "in_header", "article", "anchor", "hint", "p", "hint_chars", "hint_links")
+
+    def __init__(self, tag: str, path: str, hidden: bool, up: _Node | None, place: int, header: bool = False, hint: bool = False) -> None:
+        self.tag, self.path, self.hidden, self.up = tag, path, hidden, up
+        self.chars = self.links = self.hint_chars = self.hint_links = 0
+        self.holder = self if up is None or tag in BLOCKS else up.holder
+        self.box = self if up is None or tag in CONTAINERS else up.box
+        self.heading = tag in HEADINGS or (up is not None and up.heading)
+        self.in_header = header or (up is not None and up.in_header)
+        self.article = tag in ("article", "main") or (up is not None and up.article)
+        self.anchor = tag == "a" or (up is not None and up.anchor)
+        self.hint = self if hint else up.hint if up is not None else None
+        self.p = place if tag == "p" else 0 if up is None or tag in ("td", "th", "table") else up.p  # where in the stack a paragraph is open
+
+
+def _names(attrs: str) -> tuple[str, bool, bool, bool]:
+    """The generalised classes, and whether class, id, role or hidden mark boilerplate, may mark it, or mark a header."""
+    classes, noise, hint, header = "", False, False, False
     for name, *values in ATTR.findall(attrs):
         value, name = "".join(values).strip().lower(), name.lower()
         if name in ("class", "id"):
-            noise = noise or any(NOISE.match(w) for x in value.split() for w in (x, *re.split(r"[-_]+|\d+", x)))
+            for x in value.split():
+                words = re.split(r"[-_]+|\d+", x)
+                noise = noise or any(NOISE.match(w) for w in (x, *words)) or bool(HINT.match(x))
+                hint = hint or any(HINT.match(w) for w in words)
+                header = header or "header" in words
             if name == "class":
                 classes = "".join("." + re.sub(r"\d+", "#", x) for x in sorted(value.split()))
         elif name == "role":
             noise = noise or value in NOISE_ROLES
         elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             noise = True
-    return classes, noise or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", ATTR.sub(" ", attrs)))
+    return classes, noise or bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", ATTR.sub(" ", attrs))), hint, header
 
 
 def read(source: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
     """The blocks in page order, each with the node that holds it, and all containers."""
-    root = _Node("", "", False, False, None)
+    root = _Node("", "", False, None, 0)
     stack, blocks, containers = [root], [], []
+    opened: Counter[str] = Counter()
     pieces: list[str] = []
     linked = 0
     at, n = 0, len(source)
 
-    def text(upto: int) -> None:
-        if upto > at and not stack[-1].hidden:
-            pieces.append(source[at:upto])
-            nonlocal linked
-            if any(x.tag == "a" for x in stack[-6:]):
-                linked += upto - at
-
     def flush() -> None:
         nonlocal linked
         if pieces:
             found = " ".join(_html.unescape("".join(pieces)).split())
             pieces.clear()
             if found:
-                holder = next(x for x in reversed(stack) if x.tag in BLOCKS or x is root)
-                blocks.append((holder, found))
-                up: _Node | None = holder
-                while up is not None and up.tag not in CONTAINERS:
-                    up = up.up
-                (up or root).chars += len(found)
-                (up or root).links += linked
+                blocks.append((stack[-1].holder, found, linked))
         linked = 0
 
+    def leave(depth: int) -> None:
+        for x in stack[depth:]:
+            opened[x.tag] -= 1
+        del stack[depth:]
+
     def close(depth: int) -> None:
         if any(x.tag in BLOCKS for x in stack[depth:]):
             flush()
-        del stack[depth:]
+        leave(depth)
 
     while at < n:
         m = TAG.search(source, at)
-        text(m.start() if m else n)
+        upto = m.start() if m else n
+        if upto > at and not stack[-1].hidden:
+            pieces.append(source[at:upto])
+            if stack[-1].anchor:
+                linked += upto - at
         if not m:
             break
         at = m.end()
@@ -117,24 +141,27 @@ def read(source: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
         if not tag:
             continue
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                flush()
+            if not opened[tag]:
+                if tag == "p":
+                    flush()
                 continue
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth and (tag in BLOCKS or not any(x.tag in BLOCKS for x in stack[depth + 1 :])):  # inline ends don't close blocks
-                close(depth)
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    close(i)
+                    break
+                if tag not in BLOCKS and stack[i].tag in BLOCKS:  # inline ends don't close blocks
+                    break
             continue
         if tag == "br" or tag == "wbr":
             pieces.append(" " if tag == "br" and not stack[-1].hidden else "")
             continue
         if tag in BLOCKS:
             flush()
-            p = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p"), 0)
-            if p and not any(x.tag in {"td", "th", "table"} for x in stack[p:]):  # a block ends an open paragraph
-                del stack[p:]
+            if stack[-1].p:  # a block ends an open paragraph
+                leave(stack[-1].p)
             if tag in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
-        if tag in CLOSES:
+                leave(len(stack) - 1)
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag][0]):
             ends, bounds = CLOSES[tag]
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in bounds:
@@ -144,51 +171,63 @@ def read(source: str) -> tuple[list[tuple[_Node, str]], list[_Node]]:
                     break
         if tag in VOID:
             continue
-        classes, noise = _names(m[3]) if m[3] else ("", False)
+        if len(stack) >= DEEPEST:
+            close(DEEPEST - 1)
+        classes, noise, hint, header = _names(m[3]) if m[3] else ("", False, False, False)
         up = stack[-1]
         wide = tag in ("html", "body", "article", "main")
-        hidden = up.hidden or tag in DROPPED or noise and not wide
+        header = not wide and (header or tag == "header")
+        hidden = up.hidden or tag in DROPPED or not wide and (noise or not up.article and (hint or header))
         path = f"{up.path}>{tag}{classes}" if tag in BLOCKS else up.path
-        node = _Node(tag, path, noise, hidden, up)
+        node = _Node(tag, path, hidden, up, len(stack), header, hint and not wide)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = end.end() if end else n
             continue
-        if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
-            node.hidden = True
         stack.append(node)
-        if tag in CONTAINERS and not node.hidden:
+        opened[tag] += 1
+        if tag in CONTAINERS and not hidden:
             containers.append(node)
     flush()
-    return blocks, [root, *containers]
+    return _settled(blocks, [root, *containers])
 
 
-def _kept(node: _Node, tag_of_header: bool = True) -> bool:
-    """Whether a block of this node is no boilerplate: in a header element, only headings are kept."""
-    in_header, heading, up = False, False, node
-    while up is not None:
-        if up.hidden:
-            return False
-        heading = heading or up.tag in HEADINGS
-        in_header = in_header or up.tag == "header"
-        up = up.up
-    return heading or not in_header
+def _settled(blocks: list[tuple[_Node, str, int]], containers: list[_Node]) -> tuple[list[tuple[_Node, str]], list[_Node]]:
+    """In an article, what a hint marks goes if most of its text is in links; the rest is counted to its container."""
+    for node, text, linked in blocks:
+        hint = node.hint
+        while hint is not None:
+            hint.hint_chars += len(text)
+            hint.hint_links += linked
+            hint = hint.up.hint
+    out = []
+    for node, text, linked in blocks:
+        hint = node.hint
+        while hint is not None and 2 * hint.hint_links <= hint.hint_chars:
+            hint = hint.up.hint
+        if hint is None:
+            node.box.chars += len(text)
+            node.box.links += linked
+            out.append((node, text))
+    return out, containers
+
+
+def _kept(node: _Node) -> bool:
+    """Whether a block of this node is no boilerplate: in a header, only headings are kept."""
+    return not node.hidden and (node.heading or not node.in_header)
 
 
 def _totals(blocks: list[tuple[_Node, str]], containers: list[_Node]) -> list[tuple[float, _Node]]:
     """Containers by score, best first: own text outside links, that of nested ones at half weight a level."""
-    scores: dict[int, float] = {}
-    for node in containers:
-        own, up, weight = max(0, node.chars - 2 * node.links), node, 1.0
-        if node.hidden or not own:
-            continue
-        while up is not None:
-            if up.tag in CONTAINERS or up.up is None:
-                bonus = 2.0 if up.tag in ("article", "main") else 1.0
-                scores[id(up)] = scores.get(id(up), 0.0) + own * weight * bonus
-                weight /= 2
-            up = up.up
-    return sorted(((scores[id(x)], x) for x in containers if scores.get(id(x))), key=lambda s: (-s[0], s[1].path))
+    inner: dict[int, float] = {}
+    scores = []
+    for node in reversed(containers):  # the nested before those around them
+        total = max(0, node.chars - 2 * node.links) + inner.pop(id(node), 0.0)
+        if total:
+            scores.append((total * (2.0 if node.tag in ("article", "main") else 1.0), node))
+            if node.up is not None:
+                inner[id(node.up.box)] = inner.get(id(node.up.box), 0.0) + total / 2
+    return sorted(scores, key=lambda s: (-s[0], s[1].path))
 
 
 def _widened(chosen: dict[int, _Node], blocks: list[tuple[_Node, str]]) -> set[int]:
@@ -214,14 +253,14 @@ def _widened(chosen: dict[int, _Node], blocks: list[tuple[_Node, str]]) -> set[i
     return out
 
 
-def votes(source: str | None, most: int | None = None) -> list[tuple[str, int]]:
-    """The generalised paths of the page's containers (of the most best ones, if given) with their whole-number scores."""
+def votes(source: str | None) -> list[tuple[str, int]]:
+    """The generalised paths of the page's containers with their whole-number scores."""
     if not source:
         return []
     best: dict[str, int] = {}
     for score, node in _totals(*read(source)):
         best[node.path] = best.get(node.path, 0) + round(score)
-    return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:most]
+    return sorted(best.items(), key=lambda x: (-x[1], x[0]))
 
 
 def extract(source: str | None, path: str | None) -> str:
@@ -264,7 +303,7 @@ def winners(pages: DataFrame) -> DataFrame:
     """(host, path): the container path with the most votes of each host."""
     cast = pages.select(host_of("url").alias("host"), F.inline(_votes("html")))
     tally = cast.groupBy("host", "path").agg(F.sum("score").alias("score"))
-    return tally.groupBy("host").agg(F.max_by("path", F.struct("score", "path")).alias("path"))
+    return tally.groupBy("host").agg(F.min_by("path", F.struct(-F.col("score"), "path")).alias("path"))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
