@@ -3,7 +3,9 @@
 Texts are encoded with a public tokenizer; an end id closes each document. A zstandard dictionary is trained
 once, on the serialized ids of a bounded sample (``sample_docs`` documents of the smallest hashes of doc_id,
 texts over ``sample_chars`` characters left out); every document of the table is then compressed by itself
-with it. Rows are dealt by ranges of doc_id, sorted, and packed into blocks of about ``block_bytes``. A block is
+with it. Rows are dealt by ranges of doc_id (and a hash of the text, which parts the rows of a doc_id that many
+share) and sorted before they are encoded, so a task streams its part into blocks of about ``block_bytes``. The
+number of ids before a block is the sum of the parts before its own, and of the blocks before it in its part. A block is
 
     magic b"TOKD1\\0\\0\\0", dictionary hash u64, n u64, doc_ids n * i64, null flags n * u8,
     ids n * u32 (number of ids), offsets (n + 1) * u64 (from the first frame), frames
@@ -31,8 +33,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import TwoAges, bounded_batches, cut, join_checked, session, shared_dir, worker_cache
 
@@ -181,24 +185,23 @@ class Block:
         return np.frombuffer(self.raw(i), "<u4")
 
 
-def _packer(dict_hash: int, block_bytes: int):
-    schema = ["part", "seq", "n_docs", "n_tokens", "first_doc_id", "last_doc_id", "data"]
+def _packer(encode, dict_hash: int, block_bytes: int):
+    """Batches of (doc_id, text) of a partition, in order, to its blocks; part is the partition's place among all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, rows, held = None, 0, [], 0
+        part, seq, rows, held = TaskContext.get().partitionId(), 0, [], 0
 
         def block() -> pa.RecordBatch:
             known = [r[0] for r in rows if r[0] is not None]
             row = [part, seq, len(rows), sum(r[1] for r in rows), min(known, default=None), max(known, default=None), pack(rows, dict_hash)]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], schema)
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], BLOCKS.names)
 
-        for batch in batches:
-            for p, d, n, f in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "frame"))):
-                if rows and (p != part or held + len(f) > block_bytes):
+        for batch in encode(batches):
+            for d, n, f in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "frame"))):
+                if rows and held + len(f) > block_bytes:
                     yield block()
-                    seq, rows, held = (seq + 1 if p == part else 0), [], 0
-                part = p
+                    seq, rows, held = seq + 1, [], 0
                 rows.append((d, n, f))
                 held += len(f)
         if rows:
@@ -207,7 +210,9 @@ def _packer(dict_hash: int, block_bytes: int):
     return run
 
 
-BLOCKS = "part int, seq int, n_docs long, n_tokens long, first_doc_id long, last_doc_id long, data binary"
+BLOCKS = T.StructType(
+    [T.StructField(x, T.IntegerType()) for x in ("part", "seq")] + [T.StructField(x, T.LongType()) for x in ("n_docs", "n_tokens", "first_doc_id", "last_doc_id")] + [T.StructField("data", T.BinaryType())]
+)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, block_bytes: int = 2 << 20) -> None:
@@ -220,13 +225,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     key = dictionary_hash(dictionary)
     spark.createDataFrame([(key - (1 << 64) if key >= 1 << 63 else key, bytearray(dictionary))], "hash long, data binary").coalesce(1).write.parquet(f"{path}/dictionary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 20_000)).first()[0] or []
-    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<bigint>")
-    part = F.coalesce(F.expr("size(filter(_edges, x -> x < doc_id))"), F.lit(0)).cast("int")
-    frames = docs.select("doc_id", "text").mapInArrow(_encoder(model, end_id, dictionary), ENCODED)
-    dealt = frames.withColumn("_edges", edges).withColumn("part", part).drop("_edges").repartition(parts, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
-    blocks = dealt.select("part", "doc_id", "n_tokens", "frame").mapInArrow(_packer(key, block_bytes), BLOCKS)
-    blocks.write.parquet(f"{path}/blocks")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]  # the hash parts the rows of a doc_id that many share
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    dealt.mapInArrow(_packer(_encoder(model, end_id, dictionary), key, block_bytes), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _dictionary(spark: SparkSession, path: str) -> bytes:
@@ -253,8 +254,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids before it), n_tokens, ids_crc32 and n_bytes (of its frame) of every document, from the files."""
     bounded_batches(spark)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a few numbers for each block
-    starts = cut(blocks.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")))
+    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each partition that was written
+    totals = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    starts = blocks.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("start")).join(F.broadcast(totals), "part")
+    starts = cut(starts.select("part", "seq", (F.col("start") + F.col("first")).alias("start")))
     rows = join_checked(blocks.select("part", "seq", "data"), starts, ["part", "seq"], "inner", rows=300_000, salt=False)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, n_bytes long"
     return rows.select("start", "data").mapInArrow(_reader(_dictionary(spark, path)), schema)
