@@ -4,20 +4,23 @@
    keeps the rarer share of its n-grams as seeds, so phrases of everyday words seed nothing, and a passage
    that was copied often still does, since all of its n-grams rank alike.
 2. Documents that hold a seed meet the item in a map-side join: items are read in blocks of bounded size,
-   and a block is all that travels. Hits on nearby diagonals make one window of the text.
+   and a block travels with its tasks. Hits on nearby diagonals make one window of the text. A window that holds
+   too few of the item's words for any alignment of it to count is left out: an alignment scores no more than MATCH
+   for each word of the item that the window has.
 3. A Smith-Waterman alignment of the item with each window (match 2, mismatch and gap -1) gives the share
-   of the item's best score; ``min_score`` of it is a contamination. Edited and paraphrased copies keep
-   most of it, whatever words were replaced, added or left out.
+   of the item's best score; ``min_score`` of it is a contamination, and so is an excerpt: an alignment over
+   ``min_run`` words of the text with ``min_close`` of the best score of so many words. Edited and paraphrased
+   copies keep most of it, whatever words were replaced, added or left out.
 
 Words are lower-cased and stripped of punctuation. Items of fewer words than n seed by their whole text.
 Defined results: null or wordless texts and items match nothing; a null doc_id or item_id is carried as it
-is; repeated rows give one row a pair of ids; an empty table on either side gives no matches; extra columns
-pass through ``decontaminate`` untouched.
+is, but ``decontaminate`` keeps rows of null doc_id, since nothing names them; repeated rows give one row a pair of
+ids, the first of equally good places; texts of any length are searched whole; an empty table on either side gives
+no matches; extra columns of any name pass through ``decontaminate`` untouched.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, drop_documents, give_back, session
 
 N, RARE, MIN_SCORE = 3, 0.75, 0.6
+MIN_RUN, MIN_CLOSE = 25, 0.8
+PLACES = 1 << 20
 BLOCK_WORDS = 2_000_000
 MATCH, OFF = 2, -1
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -73,6 +78,17 @@ class Items:
         self.item = np.repeat(np.arange(len(rows)), [len(g) for g in grams])
         self.at = np.concatenate([*(np.arange(len(g)) for g in grams), np.empty(0, np.int64)]).astype(np.int64)
         self.sizes = sorted({min(n, len(w)) for w in self.words if len(w)})
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+
+    def rarest(self, of: np.ndarray, share: float) -> np.ndarray:
+        """Which grams belong to their item's rarer share by frequency; ties with its last seed stay in."""
+        order = np.lexsort((of, self.item))
+        sizes = np.bincount(self.item, minlength=len(self.ids))
+        last = np.minimum(sizes - 1, np.maximum(0, np.ceil(share * sizes).astype(np.int64) - 1))
+        limit = np.zeros(len(self.ids), np.int64)
+        has = sizes > 0
+        limit[has] = of[order][(np.cumsum(sizes) - sizes + last)[has]]
+        return of <= limit[self.item]
 
     def sort(self, keep: np.ndarray) -> None:
         order = np.argsort(self.gram[keep], kind="stable")
@@ -162,20 +178,25 @@ def _align(pairs: list[tuple[np.ndarray, np.ndarray]], wide: int) -> list[tuple[
     return list(zip(best.tolist(), first.tolist(), (last - 1).tolist()))
 
 
-def _windows(places: list[tuple[int, int]], size: int, n_words: int) -> list[tuple[int, int]]:
-    """Parts of the text around where hits (place, place in the item) put the item, merged where they meet."""
-    slack = max(8, size // 2)
-    spans = sorted((max(0, p - q - slack), min(n_words, p - q + size + slack)) for p, q in places)
-    out = [spans[0]]
-    for a, b in spans[1:]:
-        if a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _matcher(items: Items, min_score: float):
+def _windows(items: Items, starts: np.ndarray, ends: np.ndarray, spots: np.ndarray, found: np.ndarray, n_words: int) -> list[tuple[int, int, int]]:
+    """(item, a, b): parts of the text around where hits put the items, merged where those of one item meet."""
+    parts, counts = [], ends[found] - starts[found]
+    upto = np.cumsum(counts)
+    cuts = [0, *(np.searchsorted(upto, np.arange(PLACES, upto[-1], PLACES)) + 1).tolist(), len(found)]
+    for i, j in zip(cuts, cuts[1:]):  # so many places at a time
+        n = counts[i:j]
+        at = np.repeat(starts[found[i:j]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item = items.item[at]
+        size = items.lengths[item]
+        begin, slack = np.repeat(spots[i:j], n) - items.at[at], np.maximum(8, size // 2)
+        parts.append(np.unique(np.stack([item, np.maximum(0, begin - slack), np.minimum(n_words, begin + size + slack)]), axis=1))
+    item, a, b = np.unique(np.concatenate(parts, axis=1), axis=1)  # by item, then place: windows of one item are equally long, so their ends rise too
+    first = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (a[1:] > b[:-1])])
+    last = np.r_[first[1:], len(item)] - 1
+    return list(zip(item[first].tolist(), a[first].tolist(), b[last].tolist()))
+
+
+def _matcher(items: Items, min_score: float, min_run: int, min_close: float):
     starts = np.flatnonzero(np.r_[True, items.gram[1:] != items.gram[:-1]]) if len(items.gram) else np.empty(0, np.int64)
     table, ends = items.gram[starts], np.r_[starts[1:], len(items.gram)]
 
@@ -187,18 +208,16 @@ def _matcher(items: Items, min_score: float):
                 spots, found = _occurrences(table, items.sizes, h, items.n)
                 if not len(spots):
                     continue
-                by_item = defaultdict(list)
-                for p, k in zip(spots.tolist(), found.tolist()):
-                    for x in range(starts[k], ends[k]):
-                        by_item[items.item[x]].append((p, int(items.at[x])))
-                for i, places in by_item.items():
-                    for a, b in _windows(places, len(items.words[i]), len(h)):
+                for i, a, b in _windows(items, starts, ends, spots, found, len(h)):
+                    item = items.words[i]
+                    if np.isin(item, h[a:b]).sum() >= min(min_score * len(item), min_close * min_run):
                         todo.append((doc, i, a))
-                        pairs.append((items.words[i], h[a:b]))
+                        pairs.append((item, h[a:b]))
             best: dict = {}
             for (doc, i, a), (score, first, last) in zip(todo, align(pairs)):
-                share = score / (MATCH * len(items.words[i]))
-                if share >= min_score and share > best.get((doc, i), (0,))[0]:
+                share, span = score / (MATCH * len(items.words[i])), last - first + 1
+                counts = share >= min_score or span >= min_run and score >= min_close * MATCH * span
+                if counts and share > best.get((doc, i), (0,))[0]:
                     best[doc, i] = (share, a + first, a + last)
             del todo, pairs, known
             give_back()
@@ -222,7 +241,9 @@ def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple]]:
         yield rows
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
+def matches(
+    docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RARE, min_score: float = MIN_SCORE, min_run: int = MIN_RUN, min_close: float = MIN_CLOSE, block_words: int = BLOCK_WORDS
+) -> DataFrame:
     """doc_id, item_id, score and the words first_word to last_word of each contaminated pair."""
     spark = session(docs)
     bounded_batches(spark)
@@ -237,14 +258,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: float = RAR
         for r in totals:
             frequency[r["gram"]] = r["documents"]
         of = frequency[np.searchsorted(grams, items.gram)]
-        keep = np.zeros(len(items.gram), bool)
-        for i in range(len(rows)):  # each item's rarer share; ties with its last seed stay in
-            mine = np.flatnonzero(items.item == i)
-            if len(mine):
-                cut_at = np.sort(of[mine])[min(len(mine) - 1, max(0, int(np.ceil(rare * len(mine))) - 1))]
-                keep[mine[of[mine] <= cut_at]] = True
-        items.sort(keep)
-        out = out.unionByName(texts.mapInArrow(_matcher(items, min_score), MATCHES))
+        items.sort(items.rarest(of, rare))
+        out = out.unionByName(texts.mapInArrow(_matcher(items, min_score, min_run, min_close), MATCHES))
     best = out.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("score", "first_word", "last_word"), F.struct("score", -F.col("first_word"))).alias("m"))
     return best.select("doc_id", "item_id", "m.*")
 
