@@ -68,12 +68,16 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 @F.pandas_udf(T.StructType([T.StructField(x, T.LongType()) for x in METRICS]))
-def _metrics(text: pd.Series) -> pd.DataFrame:
+def _counted(text: pd.Series) -> pd.DataFrame:
     out = pd.DataFrame([measure(t) for t in text], columns=list(METRICS), dtype="int64")
     give_back()
     return out
 
 
+#: Said to be non-deterministic: else a filter on its result is pushed below a join and measures every text once more.
+_metrics = _counted.asNondeterministic()
+
+
 def _ratio(name: str, m: str) -> Column:
     top, under, scale, _, _ = RATIOS[name]
     return F.expr(f"{m}.{top} * {scale}L div greatest({m}.{under}, 1L)")
