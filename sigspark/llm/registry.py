@@ -14,4 +14,9 @@ QUERIES = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE_SQL, "op9_license_scan": license_scan.ORACLE_SQL}
+ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op4_line_dedup": line_dedup.ORACLE_SQL,
+    "op6_url_filter": url_filter.ORACLE_SQL,
+    "op9_license_scan": license_scan.ORACLE_SQL,
+}

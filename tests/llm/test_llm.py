@@ -137,6 +137,22 @@ def test_sharding(spark):
     assert sh.shards(docs(spark, [])).count() == 0
 
 
+def test_sharding_equals_brute_force(spark):
+    r = random.Random(4)
+    rows = [(None if i < 5 else i // 2, r.choice([None, "", "é" * r.randrange(50), "x" * r.randrange(3000)]), "x") for i in range(300)]
+    rows += rows[:20]  # repeated rows
+    df = spark.createDataFrame(rows, "doc_id long, text string, size string")
+    order = sorted(((-1 if d is None else d, zlib.crc32((t or "").encode()), len((t or "").encode()) + 1) for d, t, _ in rows))
+    total, upto, want, count = sum(x[2] for x in order), 0, [], {}
+    for d, crc, size in order:
+        upto += size
+        shard = min(7, 8 * (2 * upto - size) // (2 * total))
+        want.append((d, size, crc, shard, count.setdefault(shard, 0)))
+        count[shard] += 1
+    got = sorted(((-1 if x.doc_id is None else x.doc_id), x.size, x.text_crc32, x.shard, x.slot) for x in sh.shards(df).collect())
+    assert got == sorted(want)
+
+
 def test_line_dedup(spark):
     passage = " ".join(prose(3, 60))
     texts = [None, "", f"one\n{passage}\ntwo", f"three\n{passage}", "short\nshort", passage, "four"]
@@ -222,6 +238,27 @@ def test_html_keeps_what_is_around_the_winner(page):
     assert he.extract(source, path) == "\n\n".join(["Top", "lead", a, b])
 
 
+def test_html_hints_and_headers():
+    body = "<html><body>{0}<article><div class='entry-header'><h1>Title</h1><p>by me</p></div><p>para</p><div class='left-side'><p>real</p></div><div class='market-share'><a href=x>{1}</a></div>{2}</article></body></html>"
+    page = body.format("<div class='page-header'><p>Site</p></div><div class='left-side'><p>Menu</p></div>", "Links and more links", "<div class='comment-list'><p>reader</p></div><div class=share>tweet</div>")
+    assert he.extract(page, he.votes(page)[0][0]) == "Title\n\npara\n\nreal"
+
+
+def test_html_of_any_shape_is_read_in_one_pass():
+    import time
+
+    began = time.time()
+    for page in (
+        "<a " * 350_000, "<a href=\"x" * 100_000, "<div>" * 100_000 + "text", "<p>" + "<b>" * 100_000 + "text" + "</i>" * 100_000, "<div>t" * 60_000, "<tr>" * 100_000, "<!" * 300_000,
+        "<div>" * 600 + "<tr></tr></ul>" * 30_000 + "text", "&" * 300_000, "<script>" * 100_000, "<a><div>" * 50_000 + "</a>" * 50_000 + "t",
+    ):
+        he.votes(page)
+        he.extract(page, None)
+    assert time.time() - began < 60
+    assert he.extract("<body>" + "<div>" * 2000 + "deep" + "</div>" * 2000 + "<p>last", None) == "deep\n\nlast"
+    assert he.extract("<p>x <a " + "y" * 5, None) == "x <a yyyyy"
+
+
 def test_url_filter(spark):
     link = '<link rel="canonical" href="/es/1">'
     rows = [
@@ -237,6 +274,52 @@ def test_url_filter(spark):
     assert got[1].verdict == "block" and got[2].verdict == "block" and got[3].verdict == "allow" and got[4].host == "" and got[5].verdict == "allow"
 
 
+def test_url_references_are_resolved(spark):
+    cases = [
+        ("http://h/a/b.html", "c.html", "h/a/c.html"), ("http://h/a/b/", "../x", "h/a/x"), ("http://h/a/b?q=1", "?p=2", "h/a/b?p=2"), ("http://h/a/b#f", "#top", "h/a/b"),
+        ("https://h", "x", "h/x"), ("http://h/a/b", "//o/x", "o/x"), ("http://h/a/b", "/x/./y/../z", "h/x/z"), ("http://h/a", "http://h/p?a=1&amp;b=2", "h/p?a=1&b=2"),
+        ("http://h/a", "/&#112;&#x71;&#38;amp;", "h/pq&amp;"), ("http://h/a/b", "../../../x/..", "h"), ("http://h/a", "mailto:x@y", None), ("nohost", "x", None), (None, "http://h/x", None),
+    ]
+    for link in ("<link data-href='/no' rel=\"canonical\" href=\"{}\">", "<meta http-equiv=refresh content='0; URL={}'>", "<META content=\"5;url='{}'\" HTTP-EQUIV='Refresh'>"):
+        pages = spark.createDataFrame([(u, "<p>canonical" + link.format(r)) for u, r, _ in cases], "url string, html string")
+        assert sorted(x.b for x in uf.links(pages).collect()) == sorted(b for _, _, b in cases if b), link
+    based = spark.createDataFrame([("http://h/a/b", '<base href="/deep/er/"><link rel="alternate canonical" href=x>'), ("http://h/a", "<link " * 50_000 + "canonical")], "url string, html string")
+    assert [(x.a, x.b) for x in uf.links(based).collect()] == [("h/a/b", "h/deep/er/x")]
+
+
+def test_url_aliases_equal_union_find(spark):
+    r = random.Random(3)
+    names = [f"http://{h}/p{i}" for h in ("a.de.com", "b.org", "c.example.net", "d.example.org") for i in range(300)] + [f"http://x.com/de/{i}" for i in range(100)] + [f"http://x.com/fr/{i}" for i in range(20)]
+    links = [(r.choice(names), r.choice(names)) for _ in range(500)] + [(names[600], n) for n in names[601:700]]  # a hub
+    given = links[:250]
+    html = {}
+    for a, b in links[250:]:
+        html.setdefault(a, []).append(f'<link rel="canonical" href="{b}">')
+    rows = [(i, n, "".join(html.get(n, [])) or None, 7) for i, n in enumerate(names)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, alias int")  # a clashing name
+    up = {n: n for n in names}
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        up[find(a)] = find(b)
+    got = {x.page_id: x for x in uf.url_filter(pages, redirects=spark.createDataFrame(given, "f string, t string")).collect()}
+    verdicts = {i: "allow" if ".org/p" in n or "/fr/" in n else "block" if "/de/" in n else None for i, n in enumerate(names)}
+    groups = {}
+    for i, n in enumerate(names):
+        groups.setdefault(find(n), set()).add(verdicts[i])
+    want = {i: verdicts[i] or ("block" if "block" in groups[find(n)] and "allow" not in groups[find(n)] else "allow") for i, n in enumerate(names)}
+    assert {i: x.verdict for i, x in got.items()} == want
+    spread = sum(want[i] == "block" and verdicts[i] is None for i in want)
+    assert spread > 10
+    assert uf.url_filter(pages.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "http://H.org/" + "x" * 200_000, None), (1, "http://H.org/" + "x" * 200_000, None)], "page_id long, url string, html string")
+    assert [(x.rule, len(x.path)) for x in uf.url_filter(long).collect()] == [("org/", 200_001)] * 2
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1040)] + [(1, None)]
@@ -304,6 +387,20 @@ def test_token_store(spark, tmp_path):
     assert ts.read_document(spark, str(tmp_path / "t"), 3) == [[*t.encode(texts[3], add_special_tokens=False).ids, 2]]
 
 
+def test_token_store_edges(spark, tmp_path):
+    texts = [(None, "a b"), (3, None), (3, "x y"), (3, "x y"), (1, "word " * 60_000), (None, None)]
+    df = spark.createDataFrame([(*t, i) for i, t in enumerate(texts)], "doc_id long, text string, part int")
+    ts.write_tokens(df, str(tmp_path / "t"), block_bytes=500)
+    rows = ts.read_index(spark, str(tmp_path / "t")).collect()
+    assert [x.doc_id for x in sorted(rows, key=lambda x: x.start)] == [None, None, 1, 3, 3, 3]
+    upto = 0
+    for x in sorted(rows, key=lambda x: x.start):
+        assert x.start == upto
+        upto += x.n_tokens
+    ts.write_tokens(df.limit(0), str(tmp_path / "none"))
+    assert ts.read_index(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_license_scan(spark):
     texts = [None, "", "This work is licensed under the GNU General Public License, version 3.", "Apache License; mit license MIT License", "Licensed under CC BY-NC 4.0.", "license free"]
     rows = {r.doc_id: r for r in ls.scan(docs(spark, texts)).collect()}
@@ -312,6 +409,54 @@ def test_license_scan(spark):
     assert rows[4].labels == "cc-by,cc-by-nc-4.0" and rows[5].labels == "" and rows[0].n_words == 0 and rows[5].score == 0.0
 
 
+def _scanned(text, templates, base):
+    """n_words, places and labels of base phrases, all labels and the score, from the words alone."""
+    w = __import__("re").findall(ls_word, (text or "").translate(str.maketrans(ls.UPPER, ls.LOWER)))
+    stands = lambda p, at: at >= 0 and w[at : at + len(p)] == p
+    places = [(i, label) for p, label in base for i in range(len(w)) if stands(p.split(), i)]
+    labels, best = {label for _, label in places}, 0.5 if places else 0.0
+    for label, t, phrases in templates:
+        t = t.split()
+        at = [next(k for k in range(len(t)) if t[k : k + len(p.split())] == p.split()) for p in phrases]
+        for o in range(-len(t), len(w)):
+            if all(stands(p.split(), o + k) for p, k in zip(phrases, at)):
+                labels.add(label)
+                best = max(best, sum(0 <= o + k < len(w) and w[o + k] == x for k, x in enumerate(t)) / len(t))
+    spots = [i for i, _ in places]
+    return len(w), len(places), min(spots, default=None), max(spots, default=None), ",".join(sorted({x for _, x in places})), ",".join(sorted(labels)), best
+
+
+ls_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@pytest.mark.parametrize("n", [0, 500])
+def test_license_scan_equals_brute_force(spark, n):
+    r = random.Random(n)
+    small = [f"l{i}" for i in range(40)] + ["é", "2", "0"]
+    made = []
+    for i in range(n):
+        t = [r.choice(small) for _ in range(r.randrange(4, 14))]
+        k = r.randrange(len(t) - 2)
+        made.append((f"t{i % 90}", " ".join(t), [" ".join(t[k : k + 3]), *([" ".join(t[-2:])] if i % 5 == 0 else [])]))
+    templates = [*ls.TEMPLATES, *made]
+    texts = [None, "", "MIT", "mit-license " * 3000, "cc by " * 200 + "x" * 100_000]
+    for i in range(40):
+        words = [r.choice([*small, "gnu", "general", "public", "license", "cc", "by", "Mit", "Apache"]) for _ in range(r.randrange(60))]
+        for _ in range(r.randrange(3)):
+            label, t, phrases = r.choice(templates)
+            part = t.split()
+            if r.random() < 0.3:
+                part[r.randrange(len(part))] = "other"
+            words[r.randrange(len(words) + 1) : 0] = part[r.randrange(2) :]
+        texts.append(r.choice([" ", ", ", "\n", "--"]).join(words))
+    df = spark.createDataFrame([(i // 2, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, _h string, n_words int")  # clashing names, repeated ids
+    got = sorted((tuple(x) for x in ls.scan(df, templates).collect()), key=repr)
+    want = sorted(((i // 2, *_scanned(t, templates, ls.BASE)) for i, t in enumerate(texts)), key=repr)
+    assert [x[:-1] for x in got] == [x[:-1] for x in want]
+    assert [x[-1] for x in got] == pytest.approx([x[-1] for x in want])
+    assert ls.scan(df.limit(0)).count() == 0
+
+
 def test_decontaminate(spark):
     item = prose(11, 40)
     edited = list(item)
@@ -335,9 +480,129 @@ def test_decontaminate(spark):
     assert dc.matches(docs(spark, []), bench).count() == 0 and dc.matches(docs(spark, texts), bench.limit(0)).count() == 0
 
 
-def test_pipeline_keeps_columns(spark):
+def test_decontaminate_equals_brute_force(spark):
+    """Every document aligned with every item, without seeds and windows; random everyday words around and in the items."""
+    r = random.Random(6)
+    small = [f"v{i}" for i in range(60)]
+    items = [[r.choice(small) if r.random() < 0.5 else f"r{i}x{j}" for j in range(r.randrange(12, 70))] for i in range(12)]
+    texts, n_edited = [], 0
+    for k in range(60):
+        item = list(items[k % 12])
+        kind = k % 5
+        if kind == 1:
+            item = item[: max(26, len(item) // 3)]  # an excerpt
+        if kind in (2, 3):
+            n_edited += 1
+            for _ in range(len(item) // (9 if kind == 2 else 6)):
+                j = r.randrange(len(item))
+                item[j : j + r.randrange(2)] = ["new"] * r.randrange(3)
+        around = lambda: [r.choice(small) for _ in range(r.randrange(120))]
+        texts.append(" ".join([*around(), *([] if kind == 4 else item), *around(), *(item if k % 7 == 0 and kind == 0 else [])]))
+
+    def hashes(words):
+        return np.array([hash(w) & 0xFFFFFFFF for w in words], np.uint64)
+
+    pairs = {(d, i): (hashes(item), hashes(t.split())) for d, t in enumerate(texts) for i, item in enumerate(items) if t}
+    want = set()
+    for (d, i), (score, first, last) in zip(pairs, dc.align(list(pairs.values()))):
+        span = last - first + 1
+        if score >= 0.6 * 2 * len(items[i]) or span >= 25 and score >= 0.8 * 2 * span:
+            want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for block in (1, 2_000_000):  # an item a block, and all in one
+        got = {(x.doc_id, x.item_id) for x in dc.matches(docs(spark, texts), bench, block_words=block).collect()}
+        assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 30, (got ^ want)
+
+
+def test_decontaminate_many_items_and_null_ids(spark):
+    rows = [dc.Items([(i, f"q{i} the of and in {i % 7} a b c d") for i in range(20_000)], 3)]
+    of = np.ones(len(rows[0].gram), np.int64)
+    of[::9] = 100
+    keep = rows[0].rarest(of, 0.75)
+    for i in (0, 7, 19_999):
+        mine = np.flatnonzero(rows[0].item == i)
+        limit = np.sort(of[mine])[int(np.ceil(0.75 * len(mine))) - 1]
+        assert (keep[mine] == (of[mine] <= limit)).all()
+    item = " ".join(prose(31, 40))
+    df = spark.createDataFrame([(None, item, 1), (1, item, 2), (1, item, 3), (2, None, 4)], "doc_id long, text string, item_id int")
+    bench = spark.createDataFrame([(0, item), (None, item), (0, item)], "item_id long, text string")
+    assert sorted((str(x.doc_id), str(x.item_id)) for x in dc.matches(df, bench).collect()) == [("1", "0"), ("1", "None"), ("None", "0"), ("None", "None")]
+    kept = dc.decontaminate(df, bench)
+    assert kept.columns == df.columns and sorted(x.item_id for x in kept.collect()) == [1, 4]
+
+
+def _quality(rows):
+    """The kept rows by the fences of all documents; groups here are too small for their own."""
+    counts = [qr.measure(t) for _, t in rows]
+    base = [c[0] < 20 or 100 * c[5] > 30 * c[0] for c in counts]
+    ratio = {k: [c[qr.METRICS.index(r[0])] * r[2] // max(c[qr.METRICS.index(r[1])], 1) for c in counts] for k, r in qr.RATIOS.items()}
+    ok = [not b for b in base]
+    for k, r in qr.RATIOS.items():
+        bins = sorted(v - v % 10 ** max(len(str(v)) - 2, 0) for v, b in zip(ratio[k], base) if not b)
+        q1, q3 = (bins[-(-len(bins) * q // 4) - 1] for q in (1, 3))
+        for i, v in enumerate(ratio[k]):
+            ok[i] = ok[i] and v <= q3 + 3 * (q3 - q1) + r[3] and (r[4] is None or v >= q1 - 3 * (q3 - q1) - r[4])
+    return [x for x, o in zip(rows, ok) if o]
+
+
+def _lines(rows):
+    """Lines of runs of two or more, or of 50 words, that occur earlier, out; a pair beside its own first occurrence stays."""
+    first, out = {}, []
+    for d, t in sorted(rows):
+        lines, gone = t.split("\n"), set()
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        spans = list(zip(full, full[1:])) + [(i, i) for i in full if len(lines[i].split()) >= 50]
+        for k, (i, j) in enumerate(spans):
+            at = first.setdefault("\n".join(lines[i : j + 1]), (d, k))
+            if at != (d, k) and not (j > i and at == (d, k - 1)):
+                gone |= set(range(i, j + 1))
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        if not gone or any(x.strip() for x in left):
+            out.append((d, "\n".join(left)))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    text = lambda seed, n=90: "\n".join(" ".join(prose(seed * 10 + j, n // 3)) for j in range(3))
+    texts = [text(100 + i) for i in range(60)]
+    items = [" ".join(prose(900 + i, 40)) for i in range(6)]
+    texts += [f"{text(300 + i, 30)}\n{items[i]}\n{text(400 + i, 30)}" for i in range(5)]  # leaked
+    for i in range(10):  # near copies of one text each
+        w = texts[i].split(" ")
+        w[r.randrange(len(w))] = "changed"
+        texts.append(" ".join(w))
+    shared = "\n".join(" ".join(prose(700 + j, 25)) for j in range(3))
+    texts += [f"{text(500 + i)}\n{shared}\n{text(600 + i)}" for i in range(4)]
+    texts += [texts[3], texts[3], None, "", "too short", " ".join(["again and again"] * 40), "# * $ % " * 40, text(800, 60_000)]
+    rows = [(i, t, "en" if i % 2 else None, "s", len(t or ""), "x") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _m string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate([*items, None])), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {x.doc_id: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    left = _lines(_quality([(i, t) for i, t in enumerate(texts)]))
+    group = _components({d: _shingles(t.lower(), 5) for d, t in left}, 80)
+    left = [(d, t) for d, t in left if group[d] == d]
+
+    def leaked(t):
+        pairs = [tuple(np.array([zlib.crc32(x) for x in dc.words_of(y)], np.uint64) for y in (item, t)) for item in items]
+        found = [(s, b - a + 1, len(p[0])) for (s, a, b), p in zip(dc.align(pairs), pairs)]
+        return any(s >= 1.2 * n or span >= 25 and s >= 1.6 * span for s, span, n in found)
+
+    want = {d: t for d, t in left if not leaked(t)}
+    assert set(got) == set(want) and 60 < len(want) < len(texts)
+    codec = pc.Codec(pc.load())
+    assert {d: list(x.ids) for d, x in got.items()} == {d: np.frombuffer(codec.encode_batch([t])[0], "<u4").tolist() for d, t in want.items()}
+    assert all(codec.decode(np.array(x.ids)) == want[d] and x.lossless for d, x in got.items())
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
     import corpus_pipeline
 
-    d = "/root/testdata/sf0.001"
-    df = spark.read.parquet(f"{d}/documents.parquet")
-    assert corpus_pipeline.run(spark, d).count() > 0.4 * df.count()
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:3] == ["doc_id", "lang", "source"]
