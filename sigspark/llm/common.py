@@ -23,6 +23,8 @@ BROADCAST_ROWS = 1_000_000
 BROADCAST_BYTES = 32 << 20
 #: How many ways a key is split when a side is too large to broadcast.
 SALTS = 16
+#: Rows of two numbers that a task of an iterative step takes.
+ROWS_A_TASK = 100_000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -160,12 +162,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        few = 1 + state[0] // ROWS_A_TASK  # small graphs need no more tasks, and leave no more files, than these
+        both = e.coalesce(few).select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = join_hot(both, low, ["u"], "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = join_hot(both, low, ["u"], "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(few)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small_star = join_hot(large, low, ["u"], "n", 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut(small_star.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut(small_star.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(few))
     else:
         raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
