@@ -25,7 +25,7 @@ import zlib
 from collections import deque
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from .common import TwoAges, bounded_batches, give_back, session, worker_cache
 
 MARK = "▁"
-KNOWN_PARTS = 80_000
+KNOWN_PARTS = 40_000
 CELLS = 1 << 18
-SLICE = 1 << 20
+SLICE = 1 << 19
 ENCODED = T.StructType(
     [T.StructField(x, T.LongType()) for x in ("n_tokens", "n_bytes_fallback", "ids_crc32")] + [T.StructField("lossless", T.BooleanType()), T.StructField("ids", T.ArrayType(T.IntegerType()))]
 )
@@ -289,25 +289,31 @@ def _share(spark: SparkSession, model: str | None, scores: str | None):
 
 
 def _encoder(shared):
-    @F.pandas_udf(ENCODED)
-    def run(text: pd.Series) -> pd.DataFrame:
-        c, rows = _codec(shared), []
-        texts = [t if isinstance(t, str) else None for t in text]
-        for t, data in zip(texts, c.encode_batch(texts)):
-            ids = np.frombuffer(data, "<u4")
-            raw = int((c.pieces.kinds[ids] == BYTE).sum()) if len(ids) else 0
-            rows.append((len(ids), raw, zlib.crc32(data), c.decode(ids) == (t or ""), ids.astype(np.int32)))
+    @F.arrow_udf(ENCODED)
+    def run(text: pa.Array) -> pa.Array:
+        c = _codec(shared)
+        found = c.encode_batch(text.to_pylist())
+        ids = np.frombuffer(b"".join(found), "<u4")
+        ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+        raw = np.cumsum(np.r_[0, c.pieces.kinds[ids] == BYTE])
+        columns = [
+            pa.array(np.diff(ends)), pa.array(raw[ends[1:]] - raw[ends[:-1]]), pa.array([zlib.crc32(x) for x in found], pa.int64()),
+            pa.array([c.decode(ids[a:b]) == (t.as_py() or "") for t, a, b in zip(text, ends, ends[1:])], pa.bool_()),
+            pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view("<i4"))),
+        ]
+        out = pa.StructArray.from_arrays(columns, ENCODED.names)
+        del found, raw
         give_back()
-        return pd.DataFrame(rows, columns=["n_tokens", "n_bytes_fallback", "ids_crc32", "lossless", "ids"])
+        return out
 
     return run
 
 
 def _decoder(shared):
-    @F.pandas_udf(T.StringType())
-    def run(ids: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.StringType())
+    def run(ids: pa.Array) -> pa.Array:
         c = _codec(shared)
-        return pd.Series([c.decode(np.asarray(x, np.int64)) if x is not None else "" for x in ids], dtype=object)
+        return pa.array([c.decode(np.asarray(x.as_py(), np.int64)) if x.is_valid else "" for x in ids], pa.string())
 
     return run
 
