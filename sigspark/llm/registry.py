@@ -16,6 +16,8 @@ QUERIES = {
 }
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op2_near_dedup": near_dedup.ORACLE_SQL,
+    "op3_sharding": sharding.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_url_filter": url_filter.ORACLE_SQL,
     "op9_license_scan": license_scan.ORACLE_SQL,

@@ -53,3 +53,28 @@ def shards(docs: DataFrame, n_shards: int = 8) -> DataFrame:
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _crc_table() -> list[int]:
+    """The table of CRC-32 by its polynomial."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def oracle(n_shards: int = 8) -> str:
+    """DuckDB SQL for shards over documents; DuckDB has no CRC-32, so it folds the bytes over the table."""
+    step = "xor(s >> 8, crc[(xor(s, v) & 255) + 1])"
+    return f"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents), t AS (SELECT {_crc_table()}::BIGINT[] AS crc),
+c AS (SELECT doc_id, len(x) // 2 + 1 AS size, CASE WHEN x = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(regexp_extract_all(x, '..'), lambda h: ('0x' || h)::BIGINT)), lambda s, v: {step}), 4294967295) END AS text_crc32 FROM d, t),
+s AS (SELECT *, sum(size) OVER w AS upto, sum(size) OVER () AS total FROM c WINDOW w AS (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT *, least({n_shards} * (2 * upto - size) // (2 * total), {n_shards - 1})::INT AS shard FROM s)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, NULL::INT AS grown_shard FROM p"""
+
+
+ORACLE_SQL = oracle()

@@ -347,7 +347,7 @@ def test_piece_codec(spark):
         assert codec.decode(np.frombuffer(data, "<u4")) == t
     whole, pc.SLICE = codec.encode_batch([None, *texts]), 5
     assert pc.Codec(pieces).encode_batch([None, *texts]) == whole
-    pc.SLICE = 1 << 20
+    pc.SLICE = 1 << 19
 
     def best(part):  # every path
         b, n = part.encode(), len(part.encode())
@@ -370,6 +370,10 @@ def test_piece_codec(spark):
         assert got == pytest.approx(best(part))
     rows = {r.doc_id: r for r in pc.encode(docs(spark, [None, "", "a b", "▁"])).select("doc_id", "_piece.*").collect()}
     assert rows[0].n_tokens == 0 and rows[2].lossless and not rows[3].lossless
+    long = " ".join(prose(5, 60_000))
+    got = pc.encode(docs(spark, [long, long, "a b", "a b"]).withColumnRenamed("_w", "n_tokens")).select("doc_id", "_piece.*").orderBy("doc_id").collect()
+    assert got[0].ids == got[1].ids and got[2].ids == got[3].ids and all(x.lossless for x in got) and got[0].n_tokens > 60_000
+    assert pc.encode(docs(spark, [])).count() == 0
 
 
 def test_token_store(spark, tmp_path):
