@@ -50,14 +50,25 @@ def assemble(lines: DataFrame) -> DataFrame:
     return made.select("file_path", F.expr("l[0].line_no").alias("start_line"), F.expr("element_at(l, -1).line_no").alias("end_line"), F.array_join("l.text", " ").alias("text"))
 
 
-def read_rules(spark: SparkSession, path: str, multiline: bool = False, dialect: str = "suricata", keep_errors: bool = True) -> DataFrame:
-    """Rules of text files, parsed; line by line, or assembled over lines."""
+def read_rules(spark: SparkSession, path: str, multiline: bool = False, dialect: str = "suricata", keep_errors: bool = True, allowed_base: str | None = None) -> DataFrame:
+    """Rules of text files, parsed; line by line, or assembled over lines. Paths of this machine are checked if allowed_base is given."""
+    if allowed_base is not None:
+        path = guard_path(path, allowed_base)
     lines = raw_lines(spark, path)
     rows = assemble(lines) if multiline else lines.where("trim(text) <> '' and not trim(text) like '#%'")
     rules = parse(rows, "text", dialect=dialect).drop("text")
     return rules if keep_errors else rules.where("ok")
 
 
+def parse_file(spark: SparkSession, path: str, **options) -> DataFrame:
+    """read_rules, but files in which there are rules and none is valid raise ParseError."""
+    rules = read_rules(spark, path, **options)
+    good, bad = rules.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
+    if bad and not good:
+        raise S.ParseError(f"none of {bad} rules is valid")
+    return rules
+
+
 def from_texts(spark: SparkSession, texts: Iterable[str], dialect: str = "suricata") -> DataFrame:
     """Rules of strings, with their index; errors are error rules."""
     return parse(spark.createDataFrame(list(enumerate(texts)), "index long, text string"), "text", dialect=dialect)

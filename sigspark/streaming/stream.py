@@ -18,9 +18,18 @@ def stream_rules(spark: SparkSession, folder: str, dialect: str = "suricata", fi
     return parse(lines.where("trim(value) <> '' and not trim(value) like '#%'"), "value", dialect=dialect).drop("value")
 
 
-def run_batches(rules: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, steps: Processor | None = None) -> StreamingQuery:
-    """Hands every micro-batch, processed, to sink(df, batch_id); restarts where the checkpoint ends."""
-    return rules.writeStream.foreachBatch(lambda df, i: sink(steps(df) if steps else df, i)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_batches(
+    rules: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, steps: Processor | None = None, progress: Callable[[int, int, int], None] | None = None
+) -> StreamingQuery:
+    """Hands every micro-batch, processed, to sink(df, batch_id); restarts where the checkpoint ends. progress gets the batch, its rules and its errors."""
+
+    def each(df: DataFrame, i: int) -> None:
+        sink(steps(df) if steps else df, i)
+        if progress:
+            good, bad = df.agg(F.count_if("ok"), F.count_if(~F.col("ok"))).first()
+            progress(i, good, bad)
+
+    return rules.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_counts(rules: DataFrame, *keys: str) -> DataFrame:

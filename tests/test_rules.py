@@ -9,7 +9,7 @@ from sigspark.functions.printer import rule_text
 from sigspark.operators import similarity as M
 from sigspark.operators.selectors import Q, parse_selector, query
 from sigspark.plugins import PluginError, Registry
-from sigspark.sources.readers import assemble, from_texts, guard_path, read_rules
+from sigspark.sources.readers import assemble, from_texts, guard_path, parse_file, read_rules
 from sigspark.sources.writers import schema_text
 
 GOOD = (
@@ -78,6 +78,12 @@ def test_assembly_and_files(spark, tmp_path):
     assert {k: (r.end_line, r.ok, r.sid) for k, r in rules.items()} == {2: (5, True, 1), 7: (7, True, 2), 8: (8, False, None), 9: (9, True, 4)}
     with pytest.raises(ValueError):
         guard_path("/etc/hosts", allowed_base=str(tmp_path))
+    with pytest.raises(ValueError):
+        read_rules(spark, "/etc/hosts", allowed_base=str(tmp_path))
+    (tmp_path / "bad.rules").write_text("nonsense\nmore\n")
+    with pytest.raises(S.ParseError):
+        parse_file(spark, str(tmp_path / "bad.rules"))
+    assert parse_file(spark, str(tmp_path / "a.rules"), multiline=True).count() == 4
     assert '"options"' in schema_text(from_texts(spark, [GOOD]))
     assert assemble(spark.createDataFrame([], "file_path string, line_no int, text string")).count() == 0
 
@@ -348,3 +354,26 @@ def test_protobuf_round_trips(spark):
     assert P.encode_rule({"action": "alert", "protocol": "tcp", "direction": "->", "dialect": "suricata", "src_addr": "any", "src_port": "any", "dst_addr": "any", "dst_port": "80", "options": [], "diagnostics": [], "raw_text": None}) == bytes.fromhex("0801121608011202 3a00 1a02 3200 2001 2a02 3a00 3204 0a02 0850 2001".replace(" ", ""))
     with pytest.raises(S.ParseError):
         P.decode_rule(b"\x12\x50a")
+
+
+def test_option_locations(spark):
+    from sigspark.operators.parse import locations
+
+    text = 'alert tcp any any -> any any (msg:"a;b";\n  flow:established;;content:"x, sid:9",nocase, sid:3; )'
+    for t in (text, GOOD):
+        row = locations(from_texts(spark, [t])).first()
+        raw = row.raw_text
+        assert row.ok and [raw[x.offset :].startswith(o.keyword) for x, o in zip(row.locations, row.options, strict=True)] == [True] * len(row.options)
+        assert all(x.line == raw[: x.offset].count("\n") + 1 and x.column == x.offset - (raw[: x.offset].rfind("\n") + 1) + 1 for x in row.locations)
+    assert locations(from_texts(spark, ["nonsense"])).first().locations == []
+
+
+def test_stream_with_progress(spark, tmp_path):
+    from sigspark.operators.pipeline import Filter
+    from sigspark.streaming.stream import run_batches, stream_rules
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.rules").write_text("alert tcp any any -> any any (sid:1;)\nnonsense\ndrop tcp any any -> any any (sid:2;)\n")
+    got, seen = [], []
+    run_batches(stream_rules(spark, str(tmp_path / "in")), lambda df, i: got.extend(r.sid for r in df.collect()), str(tmp_path / "c"), Filter("action = 'drop'"), lambda *x: seen.append(x)).awaitTermination()
+    assert got == [2] and seen == [(0, 2, 1)]
