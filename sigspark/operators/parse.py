@@ -218,11 +218,11 @@ def parse(df: DataFrame, text: str = "text", dialect: str = "suricata", max_leng
 
 def locations(rules: DataFrame) -> DataFrame:
     """Adds locations: for each option (ordinal, offset from 0 in raw_text, line and column from 1) of its keyword; none for error rules."""
-    body = "if(ok, regexp_extract(raw_text, '(?s)^[^(]*[(](.*)[)]\\s*;?\\s*$', 1), '')"
+    body = "if(ok, regexp_extract(raw_text, '(?s)^[^(]*[(](.*)[)]\\\\s*;?\\\\s*$', 1), '')"
     rows = let(rules, _start=F.expr("length(regexp_extract(raw_text, '(?s)^([^(]*[(])', 1))"), _marked=F.split(F.regexp_replace(F.expr(body), OPTION, f"{_MARK}$1"), _MARK, -1))
     rows = let(rows, _sizes=F.transform("_marked", F.length))
     first = "_start + aggregate(slice(_sizes, 1, i), 0, (a, n) -> a + n)"
-    lead = "length(regexp_extract(p, '^(\\s*+)', 1))"
+    lead = "length(regexp_extract(p, '^(\\\\s*+)', 1))"
     found = F.expr(f"filter(transform(_marked, (p, i) -> if(i > 0 and trim(translate(p, ';,', '  ')) <> '', {first} + {lead}, null)), o -> o is not null)")
     rows = let(rows, _at=found)
     place = "named_struct('ordinal', i, 'offset', o, 'line', 1 + length(left(raw_text, o)) - length(replace(left(raw_text, o), '\n', '')), 'column', length(substring_index(left(raw_text, o), '\n', -1)) + 1)"

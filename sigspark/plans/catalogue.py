@@ -426,3 +426,67 @@ def parse_comma(spark, d):
     rules = parse(e.repartition(spark.sparkContext.defaultParallelism).withColumn("text", text)).where("ok")
     one = lambda t, f: F.expr(f"filter(options, o -> o.node_type = '{t}')[0].{f}")
     return rules.select("id", "msg", "sid", F.size("options").cast("long").alias("options"), one("ContentOption", "pattern").cast("string").alias("pattern"), one("ContentOption", "modifiers[0].int_value").alias("depth"))
+
+
+@register("coverage_report", f""", {_PORTS} SELECT 'total' AS section, 'rules' AS value, count(*) AS cnt FROM r UNION ALL SELECT 'protocol', protocol, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'direction', direction, count(*) FROM r GROUP BY 2
+  UNION ALL SELECT 'action', action, count(*) FROM r GROUP BY 2 UNION ALL SELECT 'content_type', {_TYPES}, count(*) FROM r WHERE msg IS NOT NULL GROUP BY 2 UNION ALL SELECT 'port', port::INT::VARCHAR, count(DISTINCT id) FROM p GROUP BY 2""")
+def coverage_report(spark, d):
+    """All distributions of the coverage report, in one pass."""
+    from ..operators.reports import coverage
+
+    return coverage(rules_from_events(spark, d))
+
+
+@register("protobuf_roundtrip", f"SELECT id, action, protocol, direction, sid, msg, len({_KINDS})::BIGINT AS options, 'GET /' || id AS pattern FROM r")
+def protobuf_roundtrip(spark, d):
+    """Rules through protobuf messages without their raw text, and read again."""
+    from ..sources.protobuf import from_protobuf, to_protobuf
+
+    back = from_protobuf(to_protobuf(rules_from_events(spark, d), "id", with_raw=False), "data").where("ok")
+    pattern = F.expr("cast(filter(options, o -> o.node_type = 'ContentOption')[0].pattern as string)")
+    return back.select(F.col("key").alias("id"), "action", "protocol", "direction", "sid", "msg", F.size("options").cast("long").alias("options"), pattern.alias("pattern"))
+
+
+@register("envelope_roundtrip", f"SELECT id, action, sid, msg, len({_KINDS})::BIGINT AS options FROM r")
+def envelope_roundtrip(spark, d):
+    """Rules through JSON envelopes of 1,000 and read again."""
+    from ..sources.readers import from_envelopes
+    from ..sources.writers import envelopes
+
+    rules = rules_from_events(spark, d)
+    return from_envelopes(envelopes(rules, "id"), "json", rules).select("id", "action", "sid", "msg", F.size("options").cast("long").alias("options"))
+
+
+@register("option_locations", f"SELECT id, len({_KINDS})::BIGINT AS options, len({_KINDS})::BIGINT AS at_keyword FROM r")
+def option_locations(spark, d):
+    """The options of each rule, and how many locations point at the keyword of their option."""
+    from ..operators.parse import locations
+
+    found = F.expr("size(filter(locations, x -> x.line = 1 and x.column = x.offset + 1 and startswith(substring(raw_text, x.offset + 1), options[x.ordinal].keyword)))")
+    return locations(rules_from_events(spark, d)).select("id", F.size("options").cast("long").alias("options"), found.cast("long").alias("at_keyword"))
+
+
+@register("opt_records", f"SELECT id, s.strategy, len({_KINDS})::BIGINT AS options_before, len({_KINDS})::BIGINT AS options_after FROM (SELECT id, {_CHANGES}, * EXCLUDE (id) FROM r) JOIN (VALUES ('OptionReorder', 1), ('FastPattern', 2)) s(strategy, k) ON (k = 1 AND reordered = 1) OR (k = 2 AND fast = 1)")
+def opt_records(spark, d):
+    """A row for each strategy that changed a rule."""
+    x = O.records(O.optimize(rules_from_events(spark, d))).select("id", F.explode("records").alias("x"))
+    return x.select("id", "x.strategy", *[F.col(f"x.details.{c}").cast("long").alias(c) for c in ("options_before", "options_after")])
+
+
+@register("lsh_maintenance", f"{_SIGS} SELECT id, array_to_string(sig, ',') AS sig FROM sigs WHERE id NOT IN (SELECT id FROM r WHERE action = 'drop')")
+def lsh_maintenance(spark, d):
+    """An index from which the rules that drop are removed, and to which all others are added again."""
+    from ..functions.lineage import cut
+
+    rules = rules_from_events(spark, d).select("id", "action", M.features().alias("f"))
+    sigs = cut(M.signatures(rules, "id", "f"))
+    index = M.LshIndex(sigs).remove(rules.where("action = 'drop'").select("id"))
+    return index.add(index.sigs).sigs.select("id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
+
+
+@register("conflict_report", "SELECT 'missing_dependency' AS kind, 'high' AS severity, 'f' || id % 60 AS subject, count(*) AS rules FROM r WHERE id % 20 = 2 AND 'f' || id % 60 NOT IN (SELECT 'f' || id % 50 FROM r WHERE id % 20 = 1) GROUP BY 3")
+def conflict_report(spark, d):
+    """All kinds of conflicts of high severity and above."""
+    from ..operators.conflicts import all_conflicts, at_least
+
+    return at_least(all_conflicts(rules_from_events(spark, d), "id"), "high")
