@@ -7,7 +7,8 @@
 2. Nodes that share a band are candidates. Bands of at most 32 members are joined; the pairs are
    pruned by comparing the signature in batches of 64 bits: after each batch a pair is dropped when the
    posterior probability (uniform prior) that its similarity reaches the threshold is below ``miss``.
-   A larger band only states that its members belong to one cell (a star to its smallest member).
+   A larger band only states that its members belong to one cell (a star to its smallest member; the stars of a
+   node are joined at the least centre, so a large group has about one edge a member, not one a band).
 3. Cells (components of what survived) of one block are verified in one task: all signatures are compared,
    batch by batch, and then the surviving pairs on their full shingle sets, unless links found before
    connect them already. In a cell of more blocks, each member is first verified against one partner (the
@@ -285,7 +286,8 @@ def _verified(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     for batch, m in enumerate(least):  # a batch is looked at only if those before it have not pruned the pair
         upto += f" + 64 - bit_count(sa[{batch}] ^ sb[{batch}])"
         pairs = pairs.where(f"{upto} >= {m}")
-    stars = rows.where(f"members > {SMALL_BAND} and node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    centres = rows.where(f"members > {SMALL_BAND}").groupBy("node").agg(F.collect_set("first").alias("c")).withColumn("b", F.array_min("c"))  # at most one a band
+    stars = centres.select(F.explode(F.array_union("c", F.array("node"))).alias("a"), "b").where("a <> b")  # a node to its least centre, its others to that
     edges = cut(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(stars.distinct()))
     cells = connected_components(edges)
 
