@@ -163,7 +163,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             break
         seen = state
         few = 1 + state[0] // ROWS_A_TASK  # small graphs need no more tasks, and leave no more files, than these
-        both = e.coalesce(few).select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        few_e = e.coalesce(few)
+        both = few_e.unionByName(few_e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
         large = join_hot(both, low, ["u"], "n", 2 * state[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(few)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
