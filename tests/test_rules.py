@@ -377,3 +377,28 @@ def test_stream_with_progress(spark, tmp_path):
     got, seen = [], []
     run_batches(stream_rules(spark, str(tmp_path / "in")), lambda df, i: got.extend(r.sid for r in df.collect()), str(tmp_path / "c"), Filter("action = 'drop'"), lambda *x: seen.append(x)).awaitTermination()
     assert got == [2] and seen == [(0, 2, 1)]
+
+
+def test_key_pairs_equal_similar_pairs(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(g * 100 + i, [f"g{g}f{j}" for j in range(20)] + [f"o{g}_{i}_{j}" for j in range(r.randrange(3))]) for g in range(4) for i in range(40)]
+    rows += [(5000 + i, rows[0][1]) for i in range(5)] + [(6000, []), (6001, None)]
+    df = spark.createDataFrame(rows, "id long, f array<string>").repartition(3)
+    sigs = M.signatures(df, "id", "f").cache()
+    key = lambda x: sorted((p.id_a, p.id_b, round(p.similarity, 9)) for p in x.collect())
+    keyed = M.keys(df, "id", "f").cache()
+    want = key(M.similar_pairs(sigs))
+    assert len(want) > 100
+    for block in (7, 30, 2048):
+        assert key(M.key_pairs(keyed, block=block)) == want
+    assert sorted(map(tuple, M.key_members(keyed).collect())) == sorted(map(tuple, M.membership(sigs).collect()))
+
+
+@pytest.mark.parametrize("name", ["similarity_pairs", "lsh_candidates"])
+def test_lsh_queries_parse_once(spark, name):
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan and len(plan) < 100_000
