@@ -402,3 +402,29 @@ def test_lsh_queries_parse_once(spark, name):
 
     plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" not in plan and len(plan) < 100_000
+
+
+def test_shadowed_ports_and_counts_equal_brute_force(spark):
+    import random
+
+    from sigspark.operators import analysis as A
+
+    r = random.Random(3)
+    port = lambda: str(r.randrange(1, 400)) if r.random() < 0.6 else f"{(lo := r.randrange(1, 380))}:{lo + r.randrange(60)}"
+    texts = [f"alert {r.choice(['tcp', 'udp'])} any any {r.choice(['->', '<>'])} any [{','.join(('!' if r.random() < 0.1 else '') + port() for _ in range(r.randrange(1, 4)))}] (sid:{r.randrange(1, 150)};)" for _ in range(200)]
+    texts += ["alert tcp any any -> any any (rev:1;)", "alert udp any any <- any [50:60,55] (sid:900;)", "alert udp any any <- any 57 (sid:901;)"]
+    rules = from_texts(spark, texts).where("ok").cache()
+    rows, want = rules.select("sid", "protocol", "direction", "dst_port.atoms").collect(), set()
+    for g in rows:
+        for x in [a for a in g.atoms if a.node_type == "PortRange" and not a.negated]:
+            for s in rows:
+                if None not in (g.sid, s.sid) and s.sid != g.sid and (s.protocol, s.direction) == (g.protocol, g.direction) and any(a.node_type == "Port" and not a.negated and x.start <= a.value <= x.end for a in s.atoms):
+                    want.add((g.sid, s.sid))
+    pairs = A.shadowed_ports(rules, block=3)
+    got = [tuple(p) for p in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 200
+    least = {}
+    for g, s in want:
+        least.setdefault(g, []).append(s)
+    assert {c.general: (c.rules, c.first_specific) for c in A.shadowed_counts(rules).collect()} == {g: (len(v), min(v)) for g, v in least.items()}
+    assert (900 in least) and least[900] == [901]
