@@ -1,12 +1,14 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sigspark import schema as S
 from sigspark.builder import RuleBuilder
 from sigspark.functions.cost import rule_cost
 from sigspark.functions.printer import rule_text
 from sigspark.operators import similarity as M
+from sigspark.operators.parse import parse
 from sigspark.operators.selectors import Q, parse_selector, query
 from sigspark.plugins import PluginError, Registry
 from sigspark.sources.readers import assemble, from_texts, guard_path, parse_file, read_rules
@@ -428,3 +430,29 @@ def test_shadowed_ports_and_counts_equal_brute_force(spark):
         least.setdefault(g, []).append(s)
     assert {c.general: (c.rules, c.first_specific) for c in A.shadowed_counts(rules).collect()} == {g: (len(v), min(v)) for g, v in least.items()}
     assert (900 in least) and least[900] == [901]
+
+
+def test_counts_equal_sizes_of_what_is_not_built(spark):
+    """Short and long ways of the parser give the same: lists and options that take the first beside such that do not."""
+    lists = ["any", "[10.0.0.1,10.0.0.2]", "[,10.0.0.1,,fe80::1,]", "[]", "[10.0.0.1 10.0.0.2]", "[10.0.0.0/24,10.0.0.1]", "![10.0.0.1,[10.0.0.2,!10.0.0.3]]", "[10.0.0.1,x!]"]
+    bodies = ['msg:"a b"; content:"x";content:"y"; ; sid:1;', 'msg:"a;b"; content:"x;y"; sid:2;', 'msg:"a\\"b"; content:"x", sid:3', 'msg:"a";\n content:"x";\r\n sid:4;', 'content:"content:"; sid:0;', 'content:"x; sid:5;', 'content : x; sid:6;']
+    rules = parse(spark.createDataFrame([(f"alert tcp {a} any -> {a} [80,443] ({b})",) for a in lists for b in bodies], "text string"), counts=True)
+    sides = ("src_addr", "src_port", "dst_addr", "dst_port")
+    rows = rules.select("text", "ok", "counts", F.size("options").alias("n"), *[F.size(f"{c}.atoms").alias(c) for c in sides]).collect()
+    assert all((r.counts.options, *[r.counts[c] for c in sides]) == (r.n, *[r[c] for c in sides]) for r in rows)
+    got = {r.text: (r.ok, r.counts.src_addr, r.counts.options) for r in rows}
+    of = lambda a, b: got[f"alert tcp {a} any -> {a} [80,443] ({b})"]
+    assert [of(a, bodies[0])[:2] for a in lists] == [(True, 1), (True, 2), (True, 2), (True, 0), (True, 2), (True, 2), (True, 3), (False, 1)]
+    assert [of("any", b)[::2] for b in bodies] == [(True, 4), (True, 3), (True, 3), (True, 3), (False, 0), (False, 0), (False, 0)]
+
+
+def test_long_rules_are_counted_without_being_built(spark):
+    from sigspark.plans import catalogue
+
+    plan = catalogue.QUERIES["parse_long"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "node_type" not in plan and "IPAddress" not in plan and "modifiers" not in plan
+    text = F.expr(
+        """concat('alert tcp [', array_join(transform(sequence(1, 300 + id % 7), i -> concat('10.0.', i % 256, '.1')), ','), '] any -> any any (msg:"a', repeat('x', cast(1200 + id % 50 as int)), '"; ',
+           array_join(transform(sequence(1, 150 + id % 5), i -> concat('content:"c', i, '";')), ' '), ' sid:', id + 1, ';)')"""
+    )
+    assert spark.range(-200, 2000).where(text != catalogue.long_text()).count() == 0
