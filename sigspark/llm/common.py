@@ -6,6 +6,7 @@ import ctypes
 import gc
 import sys
 import types
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,7 +138,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as stars: each of its nodes with the smallest that it reaches by them, both long."""
+    up: dict[int, int] = {}
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i in (x, y):
+                up.setdefault(i, i)
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            up[max(x, y)] = min(x, y)  # so that a root is the smallest of its tree
+    for i in sorted(up):
+        up[i] = up[up[i]]  # those above are smaller and so have their root by now
+    leaves = [i for i, root in up.items() if i != root]
+    u, v = pa.array(leaves, pa.int64()), pa.array([up[i] for i in leaves], pa.int64())
+    up.clear()
+    del leaves
+    yield from pa.Table.from_arrays([u, v], ["u", "v"]).to_batches(max_chunksize=10_000)
+    give_back()
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 200, native: bool = True) -> DataFrame:
     """Components of an undirected graph, by alternating large-star and small-star steps.
 
     edges has two columns of one orderable type. Returns (node, component): every node of an edge
@@ -146,21 +169,33 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     a hub are not brought into one task; every round is written to the shared folder. Labels never come
     to the driver, which sees a count and a checksum. The number of rounds grows with the logarithm of the
     longest path; without a fixed point after max_rounds, it fails rather than return half a result.
+
+    Every round leaves jobs, plans and tasks in the driver's memory. Unless native, edges (of longs, computed before) are
+    first made stars within tasks of ROWS_A_TASK edges; a graph that fits one task is then done, without a round.
     """
     a, b = edges.columns[:2]
-    e = (
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .distinct()
-    )
-    e = cut(e)
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
+    if not native:
+        few = 1 + e.count() // ROWS_A_TASK
+        bounded_batches(session(edges))
+        e = cut(e.coalesce(few).mapInArrow(_stars, "u long, v long"))
+        release(session(edges))
+    if native or few > 1:
+        e = _rounds(e, max_rounds)
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _rounds(edges: DataFrame, max_rounds: int) -> DataFrame:
+    """(u, v) of the graph of edges (u, v): every node u with the smallest v that it reaches."""
+    e = cut(edges.distinct())
     seen = None
     for turn in range(max_rounds):
         if turn % 3 == 2:
             release(session(edges))
         state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
-            break
+            return e
         seen = state
         few = 1 + state[0] // ROWS_A_TASK  # small graphs need no more tasks, and leave no more files, than these
         few_e = e.coalesce(few)
@@ -170,10 +205,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small_star = join_hot(large, low, ["u"], "n", 2 * state[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small_star.unionByName(low.select("u", F.col("m").alias("v"))).distinct().coalesce(few))
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
 def drop_documents(docs: DataFrame, gone: DataFrame) -> DataFrame:

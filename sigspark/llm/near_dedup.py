@@ -16,7 +16,8 @@
    component, need not be compared within itself: only the rest of the cell meets it and each other, every pair
    of blocks in a task of its own. So a group of n copies never becomes n * n rows, no group meets in
    one task, and the texts of a large group of alike documents travel once or twice.
-4. Components over links give every document the smallest doc_id that it can reach.
+4. Components over links give every document the smallest doc_id that it can reach. Here as above, tasks make their
+   edges stars first, and rounds of large and small stars join those of more tasks than one.
 
 Defined results: a null or wordless text has no shingles and links with nothing; a null doc_id keeps its
 row with a null component; rows of one doc_id and different texts are documents of their own; equal rows
@@ -289,7 +290,7 @@ def _verified(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     centres = rows.where(f"members > {SMALL_BAND}").groupBy("node").agg(F.collect_set("first").alias("c")).withColumn("b", F.array_min("c"))  # at most one a band
     stars = centres.select(F.explode(F.array_union("c", F.array("node"))).alias("a"), "b").where("a <> b")  # a node to its least centre, its others to that
     edges = cut(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(stars.distinct()))
-    cells = connected_components(edges)
+    cells = connected_components(edges, native=False)
 
     sized = cells.select("node", F.col("component").alias("cell")).join(nodes.select("node", "doc", "h", "n_shingles", "sketch"), "node")
     blocks = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.expr(f"cast(ceil(greatest(count(1) / {BLOCK_DOCS}, sum(n_shingles) / {BLOCK_SHINGLES})) as int)").alias("blocks"))
@@ -299,7 +300,7 @@ def _verified(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
     large = members.where("blocks > 1")
     if not large.isEmpty():
         first = _first_links(texts, edges, large, verifier)
-        joined = connected_components(first)
+        joined = connected_components(first, native=False)
         labelled = large.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
         counts = cut(labelled.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")))
         needs = lambda c, n, s: F.expr(f"cast(ceil(greatest({n} / {BLOCK_DOCS}, {s} / {BLOCK_SHINGLES})) as int)").alias(c)
@@ -309,7 +310,7 @@ def _verified(docs: DataFrame, k: int, percent: int, miss: float) -> DataFrame:
         tasks = "transform(sequence(0, if(i >= r, r, r + q) - 1), j -> " + TASK.format(cell="cell", bi="least(i, j)", bj="greatest(i, j)", block="i") + ")"
         more = _dealt(texts, cut(rest.select("node", "doc", "h", "n_shingles", "sketch", F.expr(tasks).alias("tasks")))).mapInPandas(verifier, "a long, b long")
         links = links.unionByName(first).unionByName(cut(more))
-    joined = cut(connected_components(links))
+    joined = cut(connected_components(links, native=False))
 
     label = nodes.select("node", "d1", "h", "doc", "copies").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least_doc = label.groupBy("component").agg(F.min(F.struct("doc", "h", "d1")).alias("least"), F.count(F.lit(1)).alias("n"))

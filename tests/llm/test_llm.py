@@ -339,6 +339,33 @@ def test_components(spark):
     assert got == {i: find(i) for i in up}
 
 
+@pytest.mark.parametrize("size", [100_000, 60])
+def test_components_from_stars_of_tasks(spark, monkeypatch, size):
+    monkeypatch.setattr("sigspark.llm.common.ROWS_A_TASK", size)  # one task and no rounds, or several and rounds over their stars
+    r = random.Random(size)
+    edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i + 1, i) for i in range(1000, 1040)] + [(1, None), (None, None), (5000, 5000)]
+    edges += [(2000, i) for i in range(2001, 2050)] * 2
+    least = {i: i for e in edges if None not in e and e[0] != e[1] for i in e}
+    while any(least[a] != least[b] for a, b in edges if a in least and b in least):
+        for a, b in edges:
+            if a in least and b in least:
+                least[a] = least[b] = min(least[a], least[b])
+    got = connected_components(spark.createDataFrame(edges, "a long, b long").repartition(5), native=False).collect()
+    assert len(got) == len(least) and {x.node: x.component for x in got} == least
+    assert connected_components(spark.createDataFrame([], "a long, b long"), native=False).count() == 0
+
+
+def test_near_dedup_of_a_chain_leaves_few_jobs_in_the_driver(spark):
+    words = prose(3, 120)
+    texts = [" ".join([*words[: 120 - 3 * i], *prose(50 + i, 3 * i)]) for i in range(40)]
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    rows = nd.components(docs(spark, texts), k=3, percent=85).collect()
+    sets = {i: {tuple(w[j : j + 3]) for j in range(len(w) - 2)} for i, w in enumerate(t.split() for t in texts)}
+    assert {x.doc_id: x.component_id for x in rows} == _components(sets, 85)
+    assert jobs() - before < 80  # 101 with rounds over a graph that fits one task
+
+
 def test_piece_codec(spark):
     pieces = pc.load()
     codec = pc.Codec(pieces)
