@@ -432,6 +432,28 @@ def test_shadowed_ports_and_counts_equal_brute_force(spark):
     assert (900 in least) and least[900] == [901]
 
 
+def test_shadowed_pairs_leave_before_their_block_is_formed(spark):
+    from sigspark.operators import analysis as A
+
+    texts = [f"alert tcp any any -> any {'80:90' if i % 2 else '85'} (sid:{i + 1};)" for i in range(400)]
+    one = A.shadowed_ports(from_texts(spark, texts)).limit(1)
+    plan, formed = one._jdf.queryExecution(), []
+    assert len(plan.executedPlan().executeCollectPublic()) == 1
+
+    def walk(node):
+        if node.nodeName() == "Generate":
+            formed.append(node.metrics().apply("numOutputRows").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            walk(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            walk(node.plan())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(plan.executedPlan())
+    assert len(formed) == 2 and 0 < sum(formed) <= 400  # of 40,000 pairs in the block
+
+
 def test_counts_equal_sizes_of_what_is_not_built(spark):
     """Short and long ways of the parser give the same: lists and options that take the first beside such that do not."""
     lists = ["any", "[10.0.0.1,10.0.0.2]", "[,10.0.0.1,,fe80::1,]", "[]", "[10.0.0.1 10.0.0.2]", "[10.0.0.0/24,10.0.0.1]", "![10.0.0.1,[10.0.0.2,!10.0.0.3]]", "[10.0.0.1,x!]"]
