@@ -406,6 +406,16 @@ def test_lsh_queries_parse_once(spark, name):
     assert "parquet" not in plan and len(plan) < 100_000
 
 
+def test_key_pairs_and_members_broadcast_nothing(spark):
+    from sigspark.functions.lineage import cut
+
+    keyed = cut(M.keys(spark.range(60).selectExpr("id", "transform(sequence(1, 9), i -> concat('f', id % 6, '_', i)) AS f"), "id", "f"))
+    found = M.with_members(M.key_pairs(keyed), M.key_members(keyed))
+    assert sorted(map(tuple, found.collect())) == [(r, i, 1.0) for r in range(6) for i in range(r + 6, 60, 6)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_shadowed_ports_and_counts_equal_brute_force(spark):
     import random
 
